@@ -28,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens a worker remembers before it starts anew.
 REMEMBERED = 400_000
+#: Characters that are cut into pre-tokens at a time.
+GROUP_CHARS = 4_000_000
 
 
 def byte_characters() -> str:
@@ -89,27 +91,41 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
-    def encode_bytes(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        parts, known = self.find(text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = [p for p in dict.fromkeys(parts) if p not in known]
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; new pre-tokens of all texts go to the model at once."""
+        split = [self.find(t) for t in texts]
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = {p for parts in split for p in parts}.difference(known)
+        if new:
+            new = list(new)
             for p, ids in zip(new, self.pieces.encode([p.encode().decode("latin-1").translate(_TO_CHAR) for p in new], num_threads=1)):
                 known[p] = struct.pack(f"<{len(ids)}i", *ids)
-            return b"".join([known[p] for p in parts])
+        get = known.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(self.encode_bytes(text or ""), "<i4").tolist()
+        return np.frombuffer(self.encode_bytes([text or ""])[0], "<i4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         chars = "".join(self.pieces.id_to_piece(i) for i in ids)
         return chars.translate(_TO_BYTE).encode("latin-1").decode("utf-8")
 
 
+def _by_size(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of about ``GROUP_CHARS`` characters."""
+    some, chars = [], 0
+    for t in texts:
+        some.append(t)
+        chars += len(t)
+        if chars > GROUP_CHARS:
+            yield some
+            some, chars = [], 0
+    if some:
+        yield some
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -124,7 +140,9 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTER
             _ENCODERS[name] = Encoder(shared.value, pattern)
         encode = _ENCODERS[name].encode_bytes
         for b in batches:
-            parts = [encode(t) if t else b"" for t in b.column(1).to_pylist()]
+            texts, parts = b.column(1).to_pylist(), []
+            for some in _by_size(["" if t is None else t for t in texts]):
+                parts += encode(some)
             ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
             flat = pa.array(np.frombuffer(b"".join(parts), "<i4"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
