@@ -74,3 +74,9 @@ def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int
     cold = tagged.where(F.col("_hot").isNull()).drop("_hot").join(right, keys)
     warm = tagged.where(F.col("_hot")).drop("_hot").join(F.broadcast(few), keys)
     return cold.unionByName(warm)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores before work that is heavy per row: shuffled only if its scan has too few splits."""
+    want = max(parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
