@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import leakage, lookalike, tokenizer
+from codeloom.llm import handwritten, leakage, lookalike, malformed, tokenizer
 from codeloom.util import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return malformed.broken_files(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return malformed.broken_files(table(spark, sf_dir, "files"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return malformed.broken_rates(table(spark, sf_dir, "files"), table(spark, sf_dir, "scan_results"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf_dir, "files")).select("file_id")
+
+
+def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files per repository and reason."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "files")).groupBy("project_id", "reason").agg(F.count(F.lit(1)).alias("n_files"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encoded(table(spark, sf_dir, "documents"))
 
@@ -39,7 +60,7 @@ def p9_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.consistent_form(table(spark, sf_dir, "documents")).select("doc_id", "form")
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p7_token_counts, p8_found, p8_leaks, p8_items, p9_found, p9_forms)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_errors, p3_rates, p6_found, p6_reasons, p7_ids, p7_token_counts, p8_found, p8_leaks, p8_items, p9_found, p9_forms)}
 
 #: None of these can be said in SQL: they are tested against brute force, exact round trips and small fixtures.
 ORACLE: dict[str, str] = {}
