@@ -13,8 +13,8 @@ from codeloom.util import drop_written, written
 
 
 def links(edges: DataFrame, *types: str) -> DataFrame:
-    """Distinct ``src, dst`` of the given types."""
-    return edges.where(F.col("edge_type").isin(*types)).select("src", "dst").distinct()
+    """``src, dst`` of the given types."""
+    return edges.where(F.col("edge_type").isin(*types)).select("src", "dst")
 
 
 def clamp(depth: int, most: int) -> int:
@@ -25,8 +25,8 @@ def levels(pairs: DataFrame, seeds: DataFrame, depth: int) -> list[DataFrame]:
     """Breadth-first levels ``source, node, pred``: nodes first reached by 1, 2, ... edges from each source.
 
     ``seeds`` has one column, ``source``; ``pred`` is the smallest node of the level before with an edge to it.
+    ``pairs`` is read once a level: it should be a scan of a stored graph.
     """
-    pairs, _ = written(pairs, "pairs")
     found: list[DataFrame] = []
     frontier = seeds.select("source", F.col("source").alias("node")).distinct()
     for _ in range(depth):
@@ -135,7 +135,7 @@ def longest_chain(edges: DataFrame, edge_type: str = "EXTENDS", most: int = 16)
 
     A node's depth is the last level at which some walk from it is still going.
     """
-    pairs, _ = written(links(edges, edge_type), "chain")
+    pairs, _ = written(links(edges, edge_type).distinct(), "chain")
     out, frontier = None, pairs.select(F.col("src").alias("source"), F.col("dst").alias("node"))
     circles = None
     for d in range(1, most + 1):
