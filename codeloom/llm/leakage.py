@@ -116,7 +116,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def leaked(docs: DataFrame, items: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``doc_id, item_id, longest, covered, item_words``: words of the longest tile, of all tiles, of the item."""
     spark, out = docs.sparkSession, None
-    texts = docs.where(F.length("text") > 0).select("doc_id", "text")
+    texts = docs.where(F.length("text") > 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "doc_id bigint, item_id bigint, longest int, covered int, item_words int"
     for block in _blocks(items.where(F.col("item_id").isNotNull() & (F.length("text") > 0)).select("item_id", "text")):
         shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex

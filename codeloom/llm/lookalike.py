@@ -42,7 +42,7 @@ def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def consistent_form(docs: DataFrame) -> DataFrame:
     """``doc_id, form, raw``: the consistent form of every text, and a digest of the text as it stands."""
-    base = docs.select("doc_id", "text", F.sha2("text", 256).alias("raw"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.sha2("text", 256).alias("raw"))
     base, _ = written(base.mapInArrow(_cleaned, "doc_id bigint, form string, raw string, fixes array<struct<word:string,fixed:string>>"), "clean")
     mixed = F.size("fixes") > 0
     spellings = base.where(mixed).select(F.explode("fixes").alias("f")).select("f.word", "f.fixed").distinct()

@@ -40,7 +40,7 @@ def judged(files: DataFrame) -> DataFrame:
     """Every file of a known language once: whether it is broken, and where its first error stands."""
     ending = F.lower(F.regexp_extract("path", r"\.([^./\\]+)$", 1))
     language = F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair])[ending]
-    rows = files.where(F.col("file_id").isNotNull()).select("file_id", "project_id", "scan_id", language.alias("language"), "content").where("language is not null")
+    rows = files.where(F.col("file_id").isNotNull()).select("file_id", "project_id", F.col("scan_id").cast("bigint").alias("scan_id"), language.alias("language"), "content").where("language is not null")
     return spread(rows).mapInArrow(_parsed, _SCHEMA).dropDuplicates(["file_id"])
 
 

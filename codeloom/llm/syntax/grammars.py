@@ -251,7 +251,7 @@ lambda: (NAME | '(' ')' | '(' lparam (',' lparam)* ')' | '(' params ')') '->' (e
 lparam: NAME
 conditional: binary | binary '?' expr ':' (conditional | lambda)
 binary: unary | binary binop unary | binary 'instanceof' ('final'? type NAME? | pattern)
-binop: BINOP | SIGN | '&' | '|' | '<' | GT | GTA GT | GTA GTA GT | GTA '='
+binop: BINOP | SIGN | '*' | '&' | '|' | '<' | GT | GTA GT | GTA GTA GT | GTA '='
 unary: postfix | SIGN unary | INCDEC unary | '~' unary | '!' unary | '(' type ('&' type)* ')' unary_cast
 unary_cast: unary | lambda
 postfix: primary | postfix INCDEC
@@ -312,8 +312,8 @@ exists: 'if' 'not' 'exists'
 table_body: '(' table_item (',' table_item)* ')' table_opt* | 'as' select_stmt | '(' table_item (',' table_item)* ')' 'as' select_stmt
 table_opt: NAME '='? (NAME | NUMBER | STRING)? | 'with' '(' assign (',' assign)* ')' | 'default' NAME '='? NAME | 'partition' 'by' NAME '(' names ')'
 table_item: name type column_opt* | constraint | 'like' qname
-type: NAME+ ('(' (NUMBER | NAME) (',' NUMBER)? ')')? NAME* ('[' NUMBER? ']')* | 'enum' '(' STRING (',' STRING)* ')' | 'set' '(' STRING (',' STRING)* ')' | NAME ('with' | 'without') NAME NAME | NAME '(' NUMBER ')' ('with' | 'without') NAME NAME
-column_opt: 'not'? 'null' | 'default' default_value | 'primary' 'key' ('asc' | 'desc')? | 'unique' | 'check' '(' expr ')' | ref | 'constraint' name | 'generated' ('always' | 'by' 'default') 'as' ('identity' ('(' NAME* ')')? | '(' expr ')' NAME?) | 'collate' NAME | 'comment' STRING | NAME | 'on' 'update' default_value
+type: (NAME | 'date' | 'interval') TYPE_WORD* ('(' (NUMBER | NAME) (',' NUMBER)? ')')? TYPE_WORD* ('[' NUMBER? ']')* | 'enum' '(' STRING (',' STRING)* ')' | 'set' '(' STRING (',' STRING)* ')' | NAME ('with' | 'without') NAME NAME | NAME '(' NUMBER ')' ('with' | 'without') NAME NAME
+column_opt: 'not'? 'null' | 'default' default_value | 'primary' 'key' ('asc' | 'desc')? | 'unique' | 'check' '(' expr ')' | ref | 'constraint' name | 'generated' ('always' | 'by' 'default') 'as' ('identity' ('(' NAME* ')')? | '(' expr ')' COLUMN_WORD?) | 'collate' NAME | 'comment' STRING | COLUMN_WORD | 'on' 'update' default_value
 default_value: primary | SIGN NUMBER | '(' expr ')'
 ref: 'references' qname ('(' names ')')? ref_act*
 ref_act: 'on' ('delete' | 'update') ('set' ('null' | 'default') | NAME | NAME NAME)
@@ -322,17 +322,17 @@ drop: 'drop' ('table' | 'view' | 'index' | 'schema' | 'database' | 'sequence' |
 alter: 'alter' ('table' | 'index' | 'view' | 'sequence' | 'schema') ('if' 'exists')? 'only'? qname alter_act (',' alter_act)*
 alter_act: 'add' 'column'? exists? table_item | 'drop' ('column' | 'constraint')? ('if' 'exists')? name NAME? | 'alter' 'column'? name alter_col | 'rename' ('column'? name)? 'to' name | ('modify' | 'change') 'column'? name+ type column_opt* | 'set' 'schema' name | 'owner' 'to' name | NAME+ 'to' NAME
 alter_col: 'set' ('not' 'null' | 'default' default_value | NAME 'type' type) | 'drop' ('not' 'null' | 'default') | 'type' type ('using' expr)?
-name: NAME | softkey
+name: NAME | TYPE_WORD | COLUMN_WORD | softkey
 softkey: 'key' | 'first' | 'last' | 'row' | 'rows' | 'only' | 'type' | 'comment' | 'enum' | 'start' | 'work' | 'temporary' | 'always' | 'identity' | 'duplicate' | 'nothing' | 'matched' | 'owner' | 'change' | 'modify' | 'rename' | 'next' | 'do' | 'replace' | 'schema' | 'sequence' | 'extension' | 'database' | 'transaction' | 'index' | 'view' | 'conflict' | 'returning' | 'nulls' | 'over' | 'filter' | 'partition' | 'range' | 'column' | 'add' | 'generated' | 'collate' | 'savepoint' | 'call' | 'explain' | 'qualify' | 'window' | 'offset' | 'begin' | 'end' | 'commit' | 'rollback' | 'set' | 'date' | 'interval'
 names: name (',' name)*
-qname: NAME | qname '.' name
+qname: NAME | TYPE_WORD | qname '.' name
 expr_list: expr (',' expr)*
 expr: predicate | expr ('and' | 'or') predicate
 predicate: 'not' predicate | sum | predicate compare sum | predicate 'not'? 'in' '(' (select_stmt | expr_list) ')' | predicate 'not'? 'between' sum 'and' sum | predicate 'not'? ('like' | 'ilike' | 'similar' 'to' | 'rlike' | 'regexp') sum ('escape' STRING)? | predicate 'is' 'not'? ('null' | 'true' | 'false' | 'distinct' 'from' sum | NAME) | 'exists' '(' select_stmt ')'
 compare: '=' | COMPARE | COMPARE ('all' | 'any' | 'some') | '=' ('all' | 'any' | 'some')
 sum: operand | sum (OP | SIGN | '*') operand
 operand: primary | SIGN operand | operand '::' cast_type | operand '[' expr (':' expr)? ']' | primary 'collate' NAME | primary 'at' NAME NAME primary
-cast_type: NAME+ ('(' NUMBER (',' NUMBER)? ')')? ('[' ']')*
+cast_type: (NAME | 'date' | 'interval') TYPE_WORD* ('(' NUMBER (',' NUMBER)? ')')? ('[' ']')*
 primary: NUMBER | STRING+ | 'null' | 'true' | 'false' | qname | function | '(' expr_list ')' | '(' select_stmt ')' | case | 'cast' '(' expr 'as' cast_type ')' | PARAM | 'array' '[' expr_list? ']' | ('interval' | 'date' | NAME) STRING NAME?
 function: qname '(' (('distinct' | 'all')? expr_list order? | '*' | expr 'from' expr ('for' expr)?)? ')' ('filter' '(' 'where' expr ')')? ('over' (name | '(' over ')'))? | ('left' | 'right' | 'replace' | 'if' | 'values') '(' expr_list ')'
 over: name? ('partition' 'by' expr_list)? order? frame?
@@ -446,7 +446,7 @@ method: ('async'? '*'?) class_name '?' signature block
 field: class_name ('?' | '!')? (':' type)? ('=' assign)?
 index_signature: '[' IDENT_ ':' type ']' ':' type
 binary: binary ('as' | 'satisfies') (type | 'const')
-unary: '<' type close unary
+unary: '<' (type | 'const') close unary
 postfix_lhs: postfix_lhs '!' | postfix_lhs targs '(' args? ')' | postfix_lhs '?.' targs '(' args? ')' | postfix_lhs targs template
 new_target: new_callee targs ('(' args? ')')?
 targs: '<' type (',' type)* close
@@ -459,7 +459,7 @@ union: '|'? inter ('|' inter)*
 inter: '&'? unary_type ('&' unary_type)*
 unary_type: postfix_type | ('keyof' | 'unique' | 'readonly' | 'infer') unary_type | '(' function_type ')'
 postfix_type: simple_type | postfix_type '[' ']' | postfix_type '[' type ']'
-simple_type: type_ref | 'void' | 'null' | 'true' | 'false' | 'this' | STRING | SIGN? NUMBER | template_type | object_type | '[' (tuple_item (',' tuple_item)* ','?)? ']' | '(' type ')' | 'typeof' entity targs? | 'import' '(' STRING ')' ('.' entity)? targs?
+simple_type: type_ref | 'void' | 'null' | 'true' | 'false' | 'this' | STRING | SIGN? NUMBER | template_type | object_type | '[' (tuple_item (',' tuple_item)* ','?)? ']' | '(' type ')' | 'typeof' entity targs? | 'typeof'? 'import' '(' STRING ')' ('.' entity)? targs?
 template_type: TEMPLATE | TEMPLATE_HEAD type (TEMPLATE_MID type)* TEMPLATE_TAIL
 tuple_item: '...'? type '?'? | '...'? IDENT_ '?'? ':' type
 type_ref: entity targs?

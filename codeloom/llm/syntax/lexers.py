@@ -1,4 +1,4 @@
-"""Token streams for the grammars.  A lexer gives (token names, offsets) or the offset where no token fits."""
+"""Token streams for the grammars: names and offsets; where no token fits, the last name is ``ERROR``."""
 
 from __future__ import annotations
 
@@ -8,14 +8,6 @@ from collections.abc import Callable
 Stream = tuple[list[str], list[int]]
 
 
-class LexError(Exception):
-    """No token fits at this offset."""
-
-    def __init__(self, at: int, why: str) -> None:
-        super().__init__(why)
-        self.at, self.why = at, why
-
-
 ERROR = "$error"  # a name no grammar has: the parser reports its place
 _ID = r"[^\W\d]\w*"
 _C_COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
@@ -263,7 +255,7 @@ def go(text: str) -> Stream:
 
 # ---------------------------------------------------------------- Java
 _JAVA_KEYWORDS = {w: w for w in "assert break case catch class continue default do else enum extends final finally for if implements import instanceof interface new package return static super switch synchronized this throw throws try void while true false null".split()} | dict.fromkeys("abstract native private protected public strictfp transient volatile".split(), "MODIFIER") | dict.fromkeys("boolean byte char short int long float double".split(), "PRIMITIVE") | dict.fromkeys("const goto _".split(), ERROR)
-_JAVA_OPS = dict.fromkeys("* / % << ^ && || <= == !=".split(), "BINOP") | dict.fromkeys("+ -".split(), "SIGN") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<=".split(), "ASSIGN") | {"++": "INCDEC", "--": "INCDEC"}
+_JAVA_OPS = dict.fromkeys("/ % << ^ && || <= == !=".split(), "BINOP") | dict.fromkeys("+ -".split(), "SIGN") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<=".split(), "ASSIGN") | {"++": "INCDEC", "--": "INCDEC"}
 _JAVA = _master(blank=r"[ \t\r\n\f]+|" + _C_COMMENT, block=r'"""[ \t\f]*\r?\n(?:[^\\]|\\.)*?"""', str=r'"(?:[^"\\\r\n]|\\.)*"', chr=r"'(?:[^'\\\r\n]|\\(?:[btnfrs\"'\\]|[0-7]{1,3}|u+[0-9a-fA-F]{4}))'", num=r"(?:0[xX][0-9a-fA-F_]*(?:\.[0-9a-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|(?:\d[\d_]*\.?(?:\d[\d_]*)?|\.\d[\d_]*)(?:[eE][+-]?\d+)?)[lLfFdD]?(?!\w)", id=r"[^\W\d]\w*|\$[\w$]*", gt=r">", op=r"\.\.\.|->|::|<<=|\+\+|--|<<|<=|==|!=|&&|\|\||[-+*/%&|^]=|[-+*/%&|^~!<=?:;,.(){}\[\]@]")
 _JAVA_SOFT = {"record": r"record\s+[^\W\d]\w*\s*[<(]", "sealed": r"sealed\s+\w", "permits": r"permits\s+\w", "yield": r"yield\s+[^=.;)\s]|yield\s*[(\"'-]", "when": r"when\b(?!\s*(?:->|:|,))", "open": r"open\s+module", "module": r"module\s+[\w.]+\s*\{", "with": r"with\s+\w"}
 _JAVA_SOFT = {k: re.compile(v) for k, v in _JAVA_SOFT.items()}
@@ -313,13 +305,15 @@ _SQL_KEYWORDS = _words(
     rename replace returning revoke right rlike rollback row rows savepoint schema select sequence set similar some start table temporary then to transaction true false type union unique update using values view when where window
     with without work begin"""
 )
+#: Words after the first of a type's name, and of a column's properties.
+_SQL_WORDS = dict.fromkeys("varying precision unsigned signed zerofill large object".split(), "TYPE_WORD") | dict.fromkeys("auto_increment autoincrement stored virtual persisted sparse visible invisible rowversion".split(), "COLUMN_WORD")
 _SQL = _master(blank=r"[\s\ufeff]+|--[^\n]*|/\*(?:[^*]|\*(?!/))*\*/", str=r"[eEnNxXbB]?'(?:[^']|'')*'|\$(?P<tag>[A-Za-z_]*)\$.*?\$(?P=tag)\$", quoted=r'"(?:[^"]|"")+"|`[^`]+`', num=r"(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?(?!\w)", id=r"[^\W\d][\w$]*", param=r"\?|[$:@]{1,2}\w+", op=r"::|\|\||<=>|<>|!=|<=|>=|==|->>?|#>>?|[-+*/%^&|~<>=(),.;\[\]:]")
 _SQL_OPS = dict.fromkeys("/ % ^ & | || ~ -> ->> #> #>>".split(), "OP") | dict.fromkeys("< > <= >= <> != == <=>".split(), "COMPARE") | {"+": "SIGN", "-": "SIGN"}
 
 
 def sql(text: str) -> Stream:
     names = {"str": "STRING", "quoted": "NAME", "num": "NUMBER", "param": "PARAM"}
-    return _run(_SQL, text, lambda k, t: None if k == "blank" else (t.lower() if t.lower() in _SQL_KEYWORDS else "NAME") if k == "id" else names[k] if k in names else _SQL_OPS.get(t, t))
+    return _run(_SQL, text, lambda k, t: None if k == "blank" else (t.lower() if t.lower() in _SQL_KEYWORDS else _SQL_WORDS.get(t.lower(), "NAME")) if k == "id" else names[k] if k in names else _SQL_OPS.get(t, t))
 
 
 # ---------------------------------------------------------------- JavaScript and TypeScript

@@ -147,7 +147,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTER
             flat = pa.array(np.frombuffer(b"".join(parts), "<i4"))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -10,11 +10,11 @@ import regex
 from codeloom.llm.chars import skeleton
 
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
-_REF = re.compile(r"<ref\b[^<>]*?/>|<ref\b[^<>]*>.*?</ref\s*>|<references\b[^<>]*?/?>", re.S | re.I)
-_TEMPLATE = re.compile(r"\{\{\{[^{}]*\}\}\}|\{\{[^{}]*\}\}")
+_REF = re.compile(r"(?P<alone><ref\b[^<>]*/>|<references\b[^<>]*>)|(?P<open><ref\b[^<>]*>)|(?P<close></ref\s*>)", re.I)
+_BRACES = re.compile(r"(?P<open>\{\{)|(?P<close>\}\})")
 _HIDDEN_LINK = re.compile(r"\[\[\s*(?:category|kategorie|catégorie|категория|κατηγορία)\s*:[^\[\]]*\]\]", re.I)
 _MEDIA = re.compile(r"\[\[\s*(?:file|image|datei|fichier|файл|αρχείο|media)\s*:[^\[\]|]*(?:\|[^\[\]|]*)*?(?:\|([^\[\]|]*))?\]\]", re.I)
-_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
+_LINK = re.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]]*)\]\]")
 _URL = re.compile(r"\[(?:https?:|ftp:|mailto:)?//[^\s\[\]]*\s*([^\[\]]*)\]")
 _BARE_URL = re.compile(r"(?:https?|ftp)://[^\s\[\]<>|]+")
 _TABLE_LINE = re.compile(r"^[ \t:]*(?:\{\||\|-|\|\}).*$", re.M)
@@ -28,21 +28,42 @@ _WORDS = re.compile(r"[^\W_]+")
 _MARKED_WORDS = regex.compile(r"[\p{L}\p{N}\p{M}]+")
 
 
+def _without(text: str, pattern: re.Pattern[str], nested: bool) -> str:
+    """The text without what stands between opening and closing marks, in one pass; unmatched marks stay."""
+    cuts: list[tuple[int, int]] = []
+    opened: list[int] = []
+    for m in pattern.finditer(text):
+        if m.lastgroup == "open":
+            if nested or not opened:
+                opened.append(m.start())
+        elif m.lastgroup == "alone":
+            if not opened:
+                cuts.append(m.span())
+        elif opened:
+            start = opened.pop()
+            while cuts and cuts[-1][0] > start:
+                cuts.pop()
+            cuts.append((start, m.end()))
+    out, pos = [], 0
+    for start, end in cuts:
+        out.append(text[pos:start])
+        pos = end
+    return "".join(out) + text[pos:]
+
+
 def render(text: str) -> str:
     """The text as a reader of the rendered page sees it: no comments, footnotes, template calls or markup.
 
-    Templates are taken from the inside out, so that nested calls go whole; an unclosed comment hides the
-    rest, any other unclosed construct is ordinary text.
+    Nested template calls go whole; an unclosed comment hides the rest, any other unclosed construct is
+    ordinary text.  The time taken is in proportion to the text, however deep its nesting.
     """
     if "<" in text:
         if "<!--" in text:
             text = _COMMENT.sub("", text)
-        text = _REF.sub("", text)
+        text = _without(text, _REF, nested=False)
     if "{" in text:
-        while "{{" in text:
-            text, n = _TEMPLATE.subn("", text)
-            if not n:
-                break
+        if "{{" in text:
+            text = _without(text, _BRACES, nested=True)
         if "{|" in text or "\n|" in text:
             text = _CELL_STYLE.sub(r"\1", _TABLE_LINE.sub("", text))
     if "[" in text:
