@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from codeloom.operators import analytics, communities, ingest, match, rules, tra
 from codeloom.plans import cypher, star
 from codeloom.plans.star import Star
 from codeloom.sources.store import GraphStore, scratch
+from codeloom.streaming import watch
 from codeloom.util import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -623,3 +625,29 @@ _cypher("optional", "MATCH (t:Table) OPTIONAL MATCH (m:Method)-[r:READS_TABLE|WR
 _cypher("not_exists", "MATCH (m:Method {returnType: 'P'}) WHERE NOT EXISTS { MATCH (x:Method)-[:CALLS]->(m) } AND m.paramCount > 1 RETURN m.fqName AS fq_name", "SELECT fq_name FROM methods WHERE return_type = 'P' AND param_count > 1 AND id NOT IN (SELECT dst FROM calls)")
 _cypher("reach", "MATCH p = (c:Class)-[:EXTENDS*1..3]->(s:Class) WHERE c.name ENDS WITH '77' RETURN c.name AS name, s.name AS super, length(p) AS steps", "walk AS (SELECT c.id AS a, e.dst AS b, 1 AS d FROM classes c JOIN extends_ e ON e.src = c.id WHERE ends_with(c.name, '77') UNION SELECT a, e.dst, d + 1 FROM walk JOIN extends_ e ON e.src = b WHERE d < 3);; SELECT x.name, y.name AS super, CAST(min(d) AS INTEGER) AS steps FROM walk JOIN classes x ON x.id = a JOIN classes y ON y.id = b GROUP BY 1, 2")
 _cypher("union", "MATCH (e:ApiEndpoint) WHERE e.httpMethod IN ['GET', 'PUT'] RETURN e.httpPath AS path UNION MATCH (f:File)-[:EXPOSES]->(e:ApiEndpoint) WHERE f.language =~ '(?i)as.*' RETURN e.httpPath AS path", "SELECT http_path AS path FROM endpoints WHERE http_method IN ('GET', 'PUT') UNION SELECT e.http_path FROM endpoints e JOIN exposes x ON x.dst = e.id JOIN files_ f ON f.id = x.src WHERE regexp_full_match(f.language, '(?i)as.*')")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream(g: Loaded, name: str) -> DataFrame:
+    """A table of the directory as a bounded stream."""
+    df = table(g.spark, g.dir, name)
+    return g.spark.readStream.schema(df.schema).parquet(f"{g.dir}/{name}.parquet*")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS path, CASE WHEN bool_or(event_type = 'purchase') THEN 'DELETE' ELSE arg_max(event_type, event_id) END AS kind, max(event_id) AS seq FROM events GROUP BY 1")
+def stream_debounce(g):
+    kind = F.when(F.col("event_type") == "purchase", "DELETE").otherwise(F.col("event_type"))
+    return watch.debounced(table(g.spark, g.dir, "events").select(F.col("user_id").cast("string").alias("path"), kind.alias("kind"), F.col("event_id").alias("seq")))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def events_tumbling(g):
+    return watch.windowed_counts(table(g.spark, g.dir, "events"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_tumbling(g):
+    counts = watch.windowed_counts(_stream(g, "events"), late="3650 days")
+    return watch.drained(counts, f"tumbling_{uuid.uuid4().hex}", "complete")

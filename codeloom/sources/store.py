@@ -5,10 +5,12 @@ A version is a directory; the file ``CURRENT`` names the one that counts, and is
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from codeloom.operators.ingest import upserted, without
 from codeloom.operators.traverse import closure
@@ -26,16 +28,17 @@ class GraphStore:
         target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
 
-    def current(self) -> str | None:
+    def current(self) -> dict | None:
+        """The version that counts and the schemas of its tables."""
         fs, target = self._fs(f"{self.path}/CURRENT")
         if not fs.exists(target):
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        return json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/CURRENT").first()[0])
 
-    def _point(self, version: str) -> None:
+    def _point(self, entry: dict) -> None:
         fs, target = self._fs(f"{self.path}/CURRENT")
         out = fs.create(target, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray(json.dumps(entry).encode()))
         out.close()
 
     def save(self, nodes: DataFrame, edges: DataFrame) -> GraphStore:
@@ -43,16 +46,20 @@ class GraphStore:
         version = uuid.uuid4().hex
         nodes.write.partitionBy("label").parquet(f"{self.path}/{version}/nodes")
         edges.write.partitionBy("edge_type").parquet(f"{self.path}/{version}/edges")
-        self._point(version)
+        self._point({"version": version, "nodes": nodes.schema.jsonValue(), "edges": edges.schema.jsonValue()})
         return self
 
+    def _read(self, what: str) -> DataFrame:
+        entry = self.current()
+        return self.spark.read.schema(StructType.fromJson(entry[what])).parquet(f"{self.path}/{entry['version']}/{what}")
+
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.current()}/nodes").withColumn("label", F.col("label").cast("string"))
+        return self._read("nodes")
 
     @property
     def edges(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self.current()}/edges").withColumn("edge_type", F.col("edge_type").cast("string"))
+        return self._read("edges")
 
     # -------------------------------------------------- changes
     def merge(self, nodes: DataFrame, edges: DataFrame) -> GraphStore:
