@@ -466,11 +466,9 @@ def pr_impact(g):
 # ---------------------------------------------------------------- communities
 
 
-@query("walk AS (SELECT id AS node, id AS low FROM methods WHERE class_id <= 'c12' UNION SELECT w.node, CASE WHEN r.src = w.low THEN r.dst ELSE r.src END FROM walk w JOIN refs r ON r.src = w.low OR r.dst = w.low);; SELECT node, min(low) AS component FROM walk GROUP BY node")
+@query("pairs AS (SELECT src AS u, dst AS v FROM refs UNION SELECT dst, src FROM refs);; walk AS (SELECT id AS node, id AS low FROM methods UNION SELECT w.node, p.v FROM walk w JOIN pairs p ON p.u = w.low);; SELECT node, min(low) AS component FROM walk GROUP BY node")
 def components(g):
-    few = g.methods().where("class_id <= 'c12'").select("id")
-    pairs = g.references().join(few.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst")
-    return communities.components(pairs, few.select(F.col("id").alias("node")))
+    return communities.components(g.references().select("src", "dst"), g.methods().select(F.col("id").alias("node")))
 
 
 @query()

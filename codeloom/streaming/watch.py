@@ -61,9 +61,10 @@ def catch_up(changes: DataFrame, watcher: Watcher, checkpoint: str) -> None:
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per type and tumbling window; works on streams (with a watermark) and tables."""
-    e = events.withWatermark("ts", late) if events.isStreaming else events
+    e = events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    e = e.withWatermark("ts", late) if e.isStreaming else e
     counts = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(F.col("w.start").alias("window_start"), "event_type", "n")
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
 def waiting_references(events: DataFrame) -> DataFrame:
