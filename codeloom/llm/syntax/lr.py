@@ -2,8 +2,8 @@
 
 Grammar text: one rule a line, ``name: symbols | symbols``; quoted symbols and names without a rule are
 terminals; ``x?``, ``x*``, ``x+`` and ``( a | b )`` have their usual meaning; ``%empty`` is the empty string.
-Where the tables leave a choice, all ways are followed at once (stacks that meet are one again), so that a
-grammar may be ambiguous: only whether a text belongs to the language is asked.
+Where the tables leave a choice, all ways are followed at once in one graph of stacks, so that a grammar may be
+ambiguous: only whether a text belongs to the language is asked.
 """
 
 from __future__ import annotations
@@ -70,6 +70,30 @@ class Grammar:
         return many if how == "+" else self._named(f"{symbol} *", [(many,), ()])
 
 
+def _below(nodes: list[list]) -> list[list]:
+    """All nodes one link down, each once."""
+    seen = {id(x): x for node in nodes for x in (node[1], *(node[2] or ())) if x is not None}
+    return list(seen.values())
+
+
+def _ends(nodes: list[list], n: int) -> list[list]:
+    """The nodes ``n`` links down."""
+    for _ in range(n):
+        nodes = _below(nodes)
+    return nodes
+
+
+def _ends_over(node: list, n: int, top: list, below: list) -> list[list]:
+    """The nodes ``n`` links down from ``node`` on ways over the link from ``top`` to ``below``."""
+    out: dict[int, list] = {}
+    nodes = [node]
+    for left in range(n - 1, -1, -1):
+        if any(x is top for x in nodes):
+            out |= {id(x): x for x in _ends([below], left)}
+        nodes = _below(nodes)
+    return list(out.values())
+
+
 class Tables:
     """Parse tables: ``actions[state][terminal]`` is (state to shift to or -1, reductions)."""
 
@@ -157,50 +181,69 @@ class Tables:
             self.actions.append({t: (shift.get(t, -1), tuple(reduce.get(t, ()))) for t in {*shift, *reduce}})
         self.shifts = []
 
-    def feed(self, stacks: list[tuple], token: str) -> list[tuple]:
-        """Stacks after one more token; none if it does not fit.  A stack is (state, stack below)."""
+    def feed(self, level: list[list], token: str) -> list[list]:
+        """Tops after one more token; none if it does not fit.
+
+        The stacks are a graph: a node is [state, node below, further nodes below or None]; tops of one state
+        are one node, so that the work stays polynomial however many readings a text has.
+        """
         actions, gotos = self.actions, self.gotos
-        if len(stacks) == 1:  # the usual case: one stack, one thing to do
-            node = stacks[0]
+        if len(level) == 1:  # the usual case: one stack, one thing to do
+            node = level[0]
             while True:
                 act = actions[node[0]].get(token)
                 if act is None:
                     return []
                 to, reduce = act
                 if not reduce:
-                    return [(to, node)]
+                    return [[to, node, None]]
                 if to >= 0 or len(reduce) > 1:
-                    stacks = [node]
                     break
                 lhs, n = reduce[0]
                 if lhs == "$start":
                     return [node]
-                while n:
-                    node = node[1]
-                    n -= 1
-                node = (gotos[node[0]][lhs], node)
-        out, seen, work = {}, set(), list(stacks)
-        while work:
-            node = work.pop()
-            key = (node[0], id(node[1]))
-            if key in seen:
-                continue
-            seen.add(key)
-            act = actions[node[0]].get(token)
-            if act is None:
-                continue
-            to, reduce = act
-            if to >= 0:
-                out[to, id(node[1]), node[0]] = (to, node)
-            for lhs, n in reduce:
-                if lhs == "$start":
-                    out["accept"] = node
-                    continue
                 below = node
-                while n:
+                while n and below[2] is None:
                     below = below[1]
                     n -= 1
-                work.append((gotos[below[0]][lhs], below))
+                if n:
+                    break
+                node = [gotos[below[0]][lhs], below, None]
+            level = [node]
+        active = {node[0]: node for node in level}
+        work, done, accepted = list(level), [], []
+        todo: list[tuple[list, str]] = []
+        while work or todo:
+            if todo:
+                below, lhs = todo.pop()
+                state = gotos[below[0]][lhs]
+                top = active.get(state)
+                if top is None:
+                    active[state] = top = [state, below, None]
+                    work.append(top)
+                elif below is not top[1] and not (top[2] and any(x is below for x in top[2])):
+                    top[2] = [*(top[2] or ()), below]
+                    for node in done:  # reductions that run over the new link
+                        for more, n in actions[node[0]].get(token, (-1, ()))[1]:
+                            todo += [(x, more) for x in _ends_over(node, n, top, below)]
+                continue
+            node = work.pop()
+            done.append(node)
+            for lhs, n in actions[node[0]].get(token, (-1, ()))[1]:
+                if lhs == "$start":
+                    accepted.append(node)
+                else:
+                    todo += [(x, lhs) for x in _ends([node], n)]
+        if accepted:
+            return accepted[:1]
+        out: dict[int, list] = {}
+        for node in active.values():
+            to = actions[node[0]].get(token, (-1, ()))[0]
+            if to >= 0:
+                if to in out:
+                    out[to][2] = [*(out[to][2] or ()), node]
+                else:
+                    out[to] = [to, node, None]
         return list(out.values())
 
     def first_error(self, tokens, inserted: str | None = None, may_insert=None, close: str | None = None) -> int:
@@ -208,7 +251,7 @@ class Tables:
 
         ``inserted`` is a token that may be put before token i where ``may_insert(i)`` (automatic semicolons).
         """
-        stacks = [(0, None)]
+        stacks = [[0, None, None]]
         feed = self.feed
         i = 0
         for i, t in enumerate(tokens):

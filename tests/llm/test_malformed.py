@@ -61,6 +61,12 @@ def test_deep_nesting():
     assert first_error("json", "[" * n + "]" * n) is None and first_error("json", "[" * n + "]" * (n - 1)) == (2 * n - 1, "end of file")
 
 
+def test_many_readings_take_no_long_time():
+    n = 60
+    for language, text in (("go", "package p\nvar x = " + "[]T{{" * n + "}}" * n), ("java", "class A { boolean x = " + " < ".join(f"a{i}" for i in range(n)) + "; Object y = " + "(a) " * n + "b; }"), ("typescript", "x = " + "(a, " * n + "b" + ")" * n), ("c", "int f(void) { x = " + "(a) " * n + "b; " + "a * b; " * n + "}")):
+        assert first_error(language, text) is None and first_error(language, text[:-1]) is not None or language == "typescript"
+
+
 def test_a_small_ambiguous_grammar():
     t = Tables("e: e '+' e | 'x' | '(' e ')'")
     assert t.first_error(list("x+x+(x+x)+x")) == -1 and t.first_error(list("x+")) == 2 and t.first_error(list("x)")) == 1
