@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.util import skewed_lookup, written
+from codeloom.util import drop_written, skewed_lookup, written
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -50,42 +52,59 @@ def modularity(adj: DataFrame, member: DataFrame, node: str = "node", community:
     return per.agg(F.round(F.sum(F.col("inside") / total - (F.col("deg") / total) * (F.col("deg") / total)), 6).alias("modularity"))
 
 
-def louvain(edges: DataFrame, passes: int = 12) -> DataFrame:
+def louvain(edges: DataFrame, passes: int = 50) -> DataFrame:
     """``node, community`` by single-level local moving, in parallel.
 
-    In each pass the nodes of one parity (of a hash that changes with the pass) move to the neighbouring
-    community of the largest positive gain (k_in,C - k_in,old)/m - k_i (S_C - (S_old - k_i)) / (2 m^2), ties
-    to the smaller id; moving half of the nodes at a time keeps neighbours from swapping for ever.
+    A pass has two halves: the nodes of one parity (of a hash that changes with the pass), then those of the
+    other, move to the neighbouring community of the largest positive gain (k_in,C - k_in,old)/m
+    - k_i (S_C - (S_old - k_i)) / (2 m^2), ties to the smaller id; moving half of the nodes at a time keeps
+    neighbours from swapping for ever.  It ends with the first pass that moves no node, after ``passes`` at the
+    latest; a warning then says how many nodes the last pass still moved.
     """
-    adj, _ = written(adjacency(edges), "adjacency")
-    degree, _ = written(adj.groupBy("u").agg(F.sum("w").alias("k")), "degrees")
-    two_m = degree.agg(F.sum("k")).first()[0]
-    member, _ = written(degree.select(F.col("u").alias("node"), F.col("u").alias("community")), "member")
+    named, named_at = written(adjacency(edges), "adjacency")
+    degree = named.groupBy("u").agg(F.sum("w").alias("k"))
+    two_m = named.agg(F.sum("w")).first()[0]
+    # numbers in the order of the ids: the loop shuffles these instead of names
+    ids, _ = written(ranked(degree, [F.col("u")]).select(F.col("u").alias("name"), F.col("rank").alias("node"), "k"), "numbers")
     if not two_m:
-        return member
-    m, still = two_m / 2, 0
+        return ids.select(F.col("name").alias("node"), F.col("name").alias("community"))
+    adj = named.join(ids.select(F.col("name").alias("u"), F.col("node").alias("_u")), "u").join(ids.select(F.col("name").alias("v"), F.col("node").alias("_v")), "v")
+    adj, adj_at = written(adj.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), "adjacency")
+    drop_written(edges.sparkSession, named_at)
+    member, at = written(ids.select("node", F.col("node").alias("community"), "k"), "member")
+    m = two_m / 2
     for turn in range(passes):
-        k = degree.select(F.col("u").alias("node"), "k")
-        totals = member.join(k, "node").groupBy("community").agg(F.sum("k").alias("s"))
-        toward = adj.join(member.select(F.col("node").alias("v"), "community"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("k_in"))
-        turn_of = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        own = member.where(turn_of).withColumnRenamed("community", "old").join(k, "node").join(totals.select(F.col("community").alias("old"), F.col("s").alias("s_old")), "old")
-        own = own.join(toward.select("node", F.col("community").alias("old"), F.col("k_in").alias("k_old")), ["node", "old"], "left").fillna(0.0, ["k_old"])
-        options = own.join(toward, "node").where("community <> old").join(totals, "community")
-        gain = (F.col("k_in") - F.col("k_old")) / m - F.col("k") * (F.col("s") - (F.col("s_old") - F.col("k"))) / (2 * m * m)
-        best = options.withColumn("gain", gain).where("gain > 1e-12").groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("g"), "community")).alias("b")).select("node", F.col("b.community").alias("to"))
-        moves, _ = written(best, "moves")
-        still = still + 1 if moves.isEmpty() else 0
-        if still == 2:
+        moved = 0
+        for half in (0, 1):
+            totals = member.groupBy("community").agg(F.sum("k").alias("s"))
+            state = member.join(totals, "community")
+            mine = adj.where(F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == half)
+            toward = mine.join(state.select(F.col("node").alias("v"), "community", "s"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("k_in"), F.min("s").alias("s"))
+            own = state.select("node", F.col("community").alias("old"), "k", F.col("s").alias("s_old"))
+            # the gain without the part that is the same for all communities
+            score = F.col("k_in") / m - F.col("k") * F.col("s") / (2 * m * m)
+            best = own.join(toward, "node").groupBy("node", "old", "k", "s_old").agg(
+                F.min(F.when(F.col("community") != F.col("old"), F.struct((-score).alias("g"), "community"))).alias("b"),
+                F.max(F.when(F.col("community") == F.col("old"), F.col("k_in")).otherwise(0.0)).alias("k_old"),
+            )
+            gain = -F.col("b.g") - F.col("k_old") / m + F.col("k") * (F.col("s_old") - F.col("k")) / (2 * m * m)
+            moves = best.where(gain > 1e-12).select("node", F.col("b.community").alias("to"))
+            new, new_at = written(member.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", F.col("to").isNotNull().alias("moved")), "member")
+            moved += new.where("moved").count()
+            drop_written(edges.sparkSession, at)
+            member, at = new.select("node", "community", "k"), new_at
+        if not moved:
             break
-        if still == 0:
-            member, _ = written(member.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community")), "member")
-    return member
+    else:
+        warnings.warn(f"louvain: pass {passes}, the last allowed, still moved {moved} nodes", stacklevel=2)
+    drop_written(edges.sparkSession, adj_at)
+    names = ids.select(F.col("node").alias("community"), F.col("name").alias("_to"))
+    return member.join(ids.select("node", "name"), "node").join(names, "community").select(F.col("name").alias("node"), F.col("_to").alias("community"))
 
 
-def leiden(edges: DataFrame, passes: int = 12) -> DataFrame:
+def leiden(edges: DataFrame, passes: int = 50) -> DataFrame:
     """Louvain's communities, split into connected parts: ``node, community``."""
-    member = louvain(edges, passes)
+    member, _ = written(louvain(edges, passes), "louvain")
     inner = _inside(edges.where("src <> dst").select("src", "dst"), member).select("src", "dst")
     return components(inner, member.select("node")).withColumnRenamed("component", "community")
 
