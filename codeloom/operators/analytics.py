@@ -161,20 +161,44 @@ def risk_label(risk):
     return F.when(risk >= 75, "HIGH").when(risk >= 40, "MEDIUM").otherwise("LOW")
 
 
-def migrate_plan(nodes: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
-    """Risk of moving each class: callers, references and tests of its methods from outside it."""
-    m = nodes.where("label = 'Method'").select("id", "class_id", "is_test")
+def migrate_plan(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
+    """Risk of moving each class: callers, references, importing files and tests from outside it.
+
+    A test counts if calls or references lead from it to a method of the class within ``depth`` (1..12) edges;
+    ``by_module`` has the callers of each module (``modules`` of them).
+    """
+    m = nodes.where("label = 'Method'").select("id", "class_id", "is_test", "fq_name")
     e = edges.where("edge_type IN ('CALLS', 'REFERENCES')").select("src", "dst", "edge_type")
-    e = e.join(m.select(F.col("id").alias("dst"), F.col("class_id").alias("target")), "dst").join(m.select(F.col("id").alias("src"), F.col("class_id").alias("origin"), "is_test"), "src").where("target <> origin")
+    e = e.join(m.select(F.col("id").alias("dst"), F.col("class_id").alias("target")), "dst").join(m.select(F.col("id").alias("src"), F.col("class_id").alias("origin"), "fq_name"), "src").where("target <> origin")
     per = e.groupBy("target").agg(
         F.countDistinct(F.when(F.col("edge_type") == "CALLS", F.col("src"))).alias("callers"),
         F.countDistinct(F.when(F.col("edge_type") == "REFERENCES", F.col("src"))).alias("references"),
-        F.countDistinct(F.when(F.col("is_test"), F.col("src"))).alias("tests"),
     )
+    by = e.where("edge_type = 'CALLS'").groupBy("target", module_prefix(F.col("fq_name")).alias("module")).agg(F.countDistinct("src").alias("n"))
+    by = by.groupBy("target").agg(F.count(F.lit(1)).alias("modules"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", "n")))).alias("by_module"))
+    files = _label(nodes, "File", src="id")
+    importers = edges.where("edge_type = 'IMPORTS'").join(files, "src", "left_semi").groupBy(F.col("dst").alias("target")).agg(F.countDistinct("src").alias("importers"))
+    tests = _tests_of_classes(m, edges, depth)
     c = nodes.where("label = 'Class'").select(F.col("id").alias("target"), "fq_name")
-    out = c.join(per, "target", "left").fillna(0, ["callers", "references", "tests"])
+    out = c.join(per, "target", "left").join(importers, "target", "left").join(tests, "target", "left").join(by, "target", "left").fillna(0, ["callers", "references", "importers", "tests", "modules"])
     risk = migrate_risk(F.col("callers"), F.col("references"), F.col("tests"))
-    return out.select("fq_name", "callers", "references", "tests", risk.alias("risk"), risk_label(risk).alias("risk_label"))
+    by_module = F.coalesce("by_module", F.create_map().cast("map<string,bigint>"))
+    return out.select("fq_name", "callers", "references", "importers", "tests", "modules", by_module.alias("by_module"), risk.alias("risk"), risk_label(risk).alias("risk_label"))
+
+
+def _tests_of_classes(methods: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """``target, tests``: tests of other classes from which 1..``depth`` edges lead to a method of the class."""
+    from codeloom.operators.traverse import clamp, links, reached
+
+    pairs, depth = links(edges, "CALLS", "REFERENCES"), clamp(depth, 12)
+    tests = methods.where("is_test").select(F.col("id").alias("source"), F.col("class_id").alias("origin"))
+    near = tests.select("source", F.col("source").alias("node"))
+    if depth > 1:
+        near = near.unionByName(reached(pairs, tests.select("source"), depth - 1).select("source", "node"))
+    # the last edge leads to classes, not to methods, of which there are more
+    onto = pairs.join(methods.select(F.col("id").alias("dst"), F.col("class_id").alias("target")), "dst").select(F.col("src").alias("node"), "target").distinct()
+    hit = near.join(onto, "node").select("source", "target").distinct().join(tests, "source").where("target <> origin")
+    return hit.groupBy("target").agg(F.count(F.lit(1)).alias("tests"))
 
 
 def audit(nodes: DataFrame, advisories: DataFrame) -> DataFrame:

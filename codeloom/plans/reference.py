@@ -345,6 +345,12 @@ _RISK = "least(60, callers * 6) + least(20, refs * 2 // 5) + CASE WHEN tests > 0
     f'SELECT fq_name, callers, refs AS "references", tests, CAST({_RISK} AS BIGINT) AS risk, CASE WHEN {_RISK} >= 75 THEN \'HIGH\' WHEN {_RISK} >= 40 THEN \'MEDIUM\' ELSE \'LOW\' END AS risk_label FROM per'
 )
 def migrate_risk(g):
+    """The direct tests only, as in the SQL; :func:`migrate_plan` is the whole plan."""
+    return analytics.migrate_plan(g.nodes, g.edges, 1).select("fq_name", "callers", "references", "tests", "risk", "risk_label")
+
+
+@query()
+def migrate_plan(g):
     return analytics.migrate_plan(g.nodes, g.edges)
 
 
