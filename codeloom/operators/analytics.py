@@ -207,14 +207,16 @@ def audit(nodes: DataFrame, advisories: DataFrame) -> DataFrame:
     return deps.join(advisories, ["group_id", "artifact_id", "version"]).select("group_id", "artifact_id", "version", "advisory", "severity", severity_score(F.col("severity")).alias("score"))
 
 
-def pr_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 2) -> DataFrame:
-    """Per changed file (``file_id``): symbols touched, their callers, and distinct nodes downstream."""
-    from codeloom.operators.traverse import bulk_impacted
+def pr_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
+    """Per changed file (``file_id``): symbols touched, their callers, and distinct nodes within ``depth`` (1..8) edges downstream."""
+    from codeloom.operators.traverse import clamp, links, reached
 
     symbols = nodes.where("label = 'Method'").join(files.select("file_id").distinct(), "file_id", "left_semi").select("file_id", F.col("id").alias("source"))
     touched = symbols.groupBy("file_id").agg(F.count(F.lit(1)).alias("symbols_touched"))
     calls = edges.where("edge_type = 'CALLS'").select("src", F.col("dst").alias("source")).join(symbols, "source").groupBy("file_id").agg(F.count(F.lit(1)).alias("incoming_callers"))
-    reach = bulk_impacted(edges, symbols.select("source"), depth).join(symbols, "source").groupBy("file_id").agg(F.countDistinct("node").alias("downstream_reach"))
+    # one search a file, from all its symbols: a node is found once a file, not once a symbol
+    starts = symbols.select(F.col("file_id").alias("source"), F.col("source").alias("node"))
+    reach = reached(links(edges, "CALLS", "REFERENCES"), starts, clamp(depth, 8)).groupBy(F.col("source").alias("file_id")).agg(F.count(F.lit(1)).alias("downstream_reach"))
     paths = nodes.where("label = 'File'").select(F.col("id").alias("file_id"), F.col("path").alias("file"))
     out = paths.join(touched, "file_id").join(calls, "file_id", "left").join(reach, "file_id", "left")
     return out.select("file", "symbols_touched", F.coalesce("incoming_callers", F.lit(0)).alias("incoming_callers"), F.coalesce("downstream_reach", F.lit(0)).alias("downstream_reach"))

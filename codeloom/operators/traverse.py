@@ -24,11 +24,12 @@ def clamp(depth: int, most: int) -> int:
 def levels(pairs: DataFrame, seeds: DataFrame, depth: int) -> list[DataFrame]:
     """Breadth-first levels ``source, node, pred``: nodes first reached by 1, 2, ... edges from each source.
 
-    ``seeds`` has one column, ``source``; ``pred`` is the smallest node of the level before with an edge to it.
+    ``seeds`` has a column ``source``, and ``node`` if the search of a source starts from other nodes than itself,
+    from several at once; ``pred`` is the smallest node of the level before with an edge to it.
     ``pairs`` is read once a level: it should be a scan of a stored graph.
     """
     found: list[DataFrame] = []
-    frontier = seeds.select("source", F.col("source").alias("node")).distinct()
+    frontier = seeds.select("source", F.col("node" if "node" in seeds.columns else "source").alias("node")).distinct()
     for _ in range(depth):
         step = frontier.join(pairs, frontier["node"] == pairs["src"]).groupBy("source", F.col("dst").alias("next")).agg(F.min("node").alias("pred"))
         step = step.select("source", F.col("next").alias("node"), "pred")

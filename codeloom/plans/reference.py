@@ -466,9 +466,15 @@ def slice_d2_edges(g):
     "SELECT f.path AS file, (SELECT count(*) FROM sym WHERE sym.file_id = f.id) AS symbols_touched, (SELECT count(*) FROM calls JOIN sym ON calls.dst = sym.id WHERE sym.file_id = f.id) AS incoming_callers, (SELECT count(DISTINCT node) FROM walk JOIN sym ON walk.source = sym.id WHERE sym.file_id = f.id) AS downstream_reach FROM files_ f WHERE f.id IN (SELECT file_id FROM sym)"
 )
 def pr_impact(g):
+    """Three files to depth 1, as in the SQL; :func:`pr_impact_all` is the whole."""
     return analytics.pr_impact(g.nodes, g.edges, g.spark.createDataFrame([("f1",), ("f2",), ("f3",)], "file_id string"), 1)
 
 
+@query()
+def pr_impact_all(g):
+    return analytics.pr_impact(g.nodes, g.edges, g.files().select(F.col("id").alias("file_id")))
+
+
 # ---------------------------------------------------------------- communities
 
 

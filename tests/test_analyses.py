@@ -2,6 +2,7 @@ import random
 
 from codeloom.model import NODE, shaped
 from codeloom.operators import analytics
+from codeloom.plans import reference
 
 KIND = "id string, project_id string, label string, fq_name string, name string, path string, file_id string, class_id string, is_test boolean"
 
@@ -41,3 +42,19 @@ def test_migration_counts_tests_to_depth_importers_and_modules(spark):
         assert (row["callers"], row["modules"], row["by_module"], row["importers"]) == (len(callers), len(modules), modules, 2 * (i == 1))
         assert row["risk"] == min(100, min(60, 6 * row["callers"]) + min(20, row["references"] * 2 // 5) + 20 * (row["tests"] == 0))
     assert any(got[k]["tests"] > direct[k] for k in got)
+
+
+def test_pr_impact_of_all_files_reaches_three_edges(spark, rows):
+    m, e, nodes, edges = _graph(spark, 4)
+    files = nodes.where("label = 'File'").select(nodes["id"].alias("file_id"))
+
+    def want(depth):
+        out = []
+        for f in range(3):
+            own = {x[0] for x in m if x[6] == f"f{f}"}
+            out.append((f"s/{f}", len(own), sum(t == "CALLS" and b in own for _, t, _, b in e), len(set().union(*[_reach(e, i, depth) for i in own]))))
+        return out
+
+    assert rows(analytics.pr_impact(nodes, edges, files)) == want(3) != want(2)
+    assert rows(analytics.pr_impact(nodes, edges, files, 1)) == want(1)
+    assert "pr_impact_all" in reference.QUERIES
