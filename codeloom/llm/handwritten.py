@@ -64,7 +64,7 @@ _MAP = re.compile(r"^//[#@]\s*sourceMappingURL=", re.M)
 def header(text: str) -> str:
     """The comments before the first code of a file."""
     out, inside = [], ""
-    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n", 60)[:60]:
+    for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         s = line.strip()
         if inside:
             out.append(s)
