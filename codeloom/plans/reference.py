@@ -194,6 +194,12 @@ def bulk_contains_capped(g):
     return match.bulk_contains(g.nodes, g.edges, g.files().select("id"), 5)
 
 
+@query()
+def bulk_contains_whole(g):
+    """Up to the default cap of 200 children; bulk_contains_capped keeps the cap of its SQL."""
+    return match.bulk_contains(g.nodes, g.edges, g.files().select("id"))
+
+
 @query("SELECT path, id, language FROM files_ WHERE path IN ('src/ASIA/NATION_2', 'src/EUROPE/NATION_3', 'src/AMERICA/NATION_6')")
 def bulk_files_by_path(g):
     return match.bulk_files(g.nodes, ["src/ASIA/NATION_2", "src/EUROPE/NATION_3", "src/AMERICA/NATION_6"])
@@ -412,6 +418,17 @@ _flow("test", "SELECT id FROM methods WHERE is_test", 1)
 _flow("rest", "SELECT DISTINCT dst AS id FROM handles", 2)
 
 
+@query()
+def flows_test_whole(g):
+    """:func:`flows` of all tests to the default depth; flows_test and flows_rest keep the depths of their SQL."""
+    return traverse.flows(g.nodes, g.edges, "test").select("entry", "id", F.array_join("reaches", "|").alias("reaches"))
+
+
+@query()
+def flows_rest_whole(g):
+    return traverse.flows(g.nodes, g.edges, "rest").select("entry", "id", F.array_join("reaches", "|").alias("reaches"))
+
+
 @query("walk AS (SELECT dst AS node, 1 AS d FROM contains_ WHERE src = 'f3' UNION SELECT b.dst, d + 1 FROM walk JOIN contains_ b ON b.src = node WHERE d < 16);; SELECT 'f3' AS source, node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY node")
 def containment_closure(g):
     return traverse.closure(g.edges, traverse.one(g.spark, "f3"))
