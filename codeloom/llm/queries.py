@@ -39,7 +39,7 @@ def p7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return p8_leaks(spark, sf_dir).where("leak = 'passage'").select("doc_id", "item_id")
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
