@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: str | None = None
@@ -52,14 +52,38 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in columns])
 
 
-#: Rows up to which a counted side may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Bytes (as rows in memory, estimated) up to which a measured side may be broadcast.
+BROADCAST_BYTES = 24 << 20
 
 
-def small_side(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` for the build side of a join: written, counted, and hinted for broadcast only if it is small."""
+def row_bytes(df: DataFrame) -> Column:
+    """What a row takes in memory: its fixed parts and the characters of its strings and arrays."""
+    size = F.lit(16)
+    for f in df.schema.fields:
+        size = size + 8
+        if f.dataType.typeName() in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(f.name), F.lit(0))
+        elif f.dataType.typeName() not in ("integer", "long", "boolean", "double", "timestamp", "timestamp_ntz"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(f.name))), F.lit(0))
+    return size
+
+
+def measured(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``df`` written, and its bytes in memory."""
     kept, _ = written(df, label)
-    return F.broadcast(kept) if kept.count() <= limit else kept
+    return kept, kept.agg(F.coalesce(F.sum(row_bytes(kept).cast("bigint")), F.lit(0))).first()[0]  # one number
+
+
+def small_side(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` for the build side of a join: written, measured, and hinted for broadcast only if it is small."""
+    kept, size = measured(df, label)
+    return F.broadcast(kept) if size <= limit else kept
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Inner join to a side with unique ``keys`` that is written and measured first: broadcast if small, else skew-safe."""
+    kept, size = measured(right, label)
+    return left.join(F.broadcast(kept), keys) if size <= limit else skewed_lookup(left, kept, keys, max(1, left.count()))
 
 
 def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int, one_in: int = 1000) -> DataFrame:
