@@ -26,8 +26,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files per repository and reason."""
-    return handwritten.not_handwritten(table(spark, sf_dir, "files")).groupBy("project_id", "reason").agg(F.count(F.lit(1)).alias("n_files"))
+    """Files per repository, kind and source of the line that decided."""
+    return handwritten.not_handwritten(table(spark, sf_dir, "files")).groupBy("project_id", "reason", "source").agg(F.count(F.lit(1)).alias("n_files"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,6 +48,8 @@ def test_rules_of_an_attribute_file():
         ("sql", "\n".join(f"INSERT INTO seed (id, code) VALUES ({i}, 'C{i}');" for i in range(40)), "data"),
         ("json", '{\n  "lockVersion": 3,\n  "packages": {}\n}', "generated"),
         ("json", '{\n  "a": [1, 2, 3, 4],\n  "b": 1\n}', None),
+        ("json", '{\n  "name": "' + "x" * 5000 + '",\n  "tree": {"a": [1]},\n  "lockfileVersion": 3\n}', "generated"),
+        ("json", '{"a": {"lockVersion": 3}, "text": "lockVersion"}', None),
         ("py", None, None), ("py", "", None),
     ],
 )
@@ -57,8 +59,7 @@ def test_evidence(extension, text, kind):
         assert H.evidence(extension, text.replace("\n", "\r\n")) == kind
 
 
-def test_files(spark, rows, monkeypatch):
-    monkeypatch.setattr(H, "MINED_FILES", 3)
+def test_files(spark, rows):
     gen = "// @generated by x\n"
     data = [
         ("1", "p", "src/a.py", "python", HAND, ""), ("1", "p", "src/a.py", "python", HAND, ""), ("2", "p", "node_modules/x/y.js", "javascript", None, ""), ("3", "p", "src\\b.ts", "typescript-generated", "let a = 1;", ""),
@@ -72,3 +73,27 @@ def test_files(spark, rows, monkeypatch):
     more = spark.createDataFrame([(f"m{i}", "r", f"emit/x{i}.js", None, gen if i else "let", "") for i in range(30)], FILES)
     assert {r["file_id"] for r in H.not_handwritten(more).collect()} == {f"m{i}" for i in range(30)}
     assert rows(H.not_handwritten(spark.createDataFrame([], FILES))) == []
+
+
+def test_mined_lines_mark_files_without_evidence_and_name_their_source(spark):
+    gen = "// @generated by x\n"
+    data = [(f"d{i}", "pq"[i % 2], f"a/emit/x{i}.js", None, gen if i else None, "") for i in range(40)]
+    data += [(f"e{i}", "r", f"own/n{i}_pb9.py", None, "# @generated by x\n" if i else HAND, "") for i in range(40)] + [(f"h{i}", "r", f"own/h{i}.py", None, HAND + f"\nx{i} = 1\n", "") for i in range(9)]
+    data += [("s", "r", "own/single.py", None, "# @generated by x\n", ""), ("v", "r", "node_modules/a.js", None, "", ""), ("n", None, None, None, "// @generated by x\n", "")]
+    got = {r["file_id"]: (r["reason"], r["source"], r["pattern"]) for r in H.not_handwritten(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {f"d{i}": ("generated", "directory", "/a/emit/**") for i in range(40)} | {f"e{i}": ("generated", "ending", "*_pb9.py") for i in range(40)} | {
+        "s": ("generated", "file", "/own/single.py"), "v": ("vendored", "common", None), "n": ("generated", "file", ""),
+    }
+
+
+def test_nearest_attribute_file_and_later_line_decide(spark):
+    rules = "*.js generated\n*.js -generated\nkeep/*.js vendored\n"
+    data = [("0", "p", ".gitattributes", None, rules, ""), ("1", "p", "a.js", None, "// @generated by x\n", ""), ("2", "p", "keep/b.js", None, "", ""), ("3", "p", "keep/sub/.gitattributes", None, "*.js generated\nz.js !generated\n", ""), ("4", "p", "keep/sub/c.js", None, "", ""), ("5", "p", "keep/sub/z.js", None, "", ""), ("6", "q", "a.js", None, "", "")]
+    got = {r["file_id"]: r["source"] for r in H.not_handwritten(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {"2": "declared", "4": "declared"}
+
+
+def test_short_code_is_compared_as_well_and_blank_bodies_meet_nowhere(spark):
+    data = [("1", "p", "third_party/a.py", None, "x = 1\n", ""), ("2", "p", "src/b.py", None, "# mine\nx = 1\n", ""), ("3", "p", "src/c.py", None, "# only\n", ""), ("4", "p", "third_party/d.py", None, "# only\n", "")]
+    got = {r["file_id"]: r["reason"] for r in H.not_handwritten(spark.createDataFrame(data, FILES)).collect()}
+    assert got == {"1": "vendored", "2": "vendored", "4": "vendored"}
