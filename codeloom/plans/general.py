@@ -29,18 +29,17 @@ def p2_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("table_name", "project_id", "snapshot_no", "change").agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def _orphan_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    edge_keys, findings = table(spark, sf_dir, "edge_keys"), table(spark, sf_dir, "findings")
-    events = orphans.graph_events(edge_keys, findings, table(spark, sf_dir, "slice_nodes"), table(spark, sf_dir, "library_nodes"), table(spark, sf_dir, "files"))
-    return events, edge_keys.count() + 2 * findings.count()
+def _orphans(spark: SparkSession, sf_dir: str, counts: bool) -> orphans.OrphanState:
+    references = orphans.reference_events(table(spark, sf_dir, "edge_keys"), table(spark, sf_dir, "findings"))
+    return orphans.replayed(references, orphans.parent_events(*(table(spark, sf_dir, t) for t in ("slice_nodes", "library_nodes", "files"))), counts)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_references(*_orphan_events(spark, sf_dir))
+    return _orphans(spark, sf_dir, counts=False).orphans()
 
 
 def p4_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphans.orphan_counts(*_orphan_events(spark, sf_dir))
+    return _orphans(spark, sf_dir, counts=True).counts()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +124,14 @@ ORACLE = {
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_change_counts": _P2 + "SELECT table_name, project_id, snapshot_no, change, count(*) AS n_records FROM found GROUP BY ALL",
     "p4_found": _P4 + "SELECT table_name, field, row_no, CASE WHEN ever = 0 THEN 'missing' WHEN before THEN 'deleted' ELSE 'late' END AS state, strftime(t, '%Y-%m') AS period FROM seen WHERE NOT coalesce(alive, FALSE)",
+    "p4_pending": _P4 + """, arrive AS (SELECT DISTINCT field, key, began AS t FROM life l WHERE began IS NOT NULL AND NOT EXISTS (SELECT 1 FROM life p WHERE p.field = l.field AND p.key = l.key AND p.until = l.began)),
+gone AS (SELECT DISTINCT field, key, until AS t FROM life l WHERE until IS NOT NULL AND NOT EXISTS (SELECT 1 FROM life p WHERE p.field = l.field AND p.key = l.key AND p.began = l.until)),
+moves AS (
+ SELECT table_name, field, strftime(t, '%Y-%m') AS period, 1 AS orphaned, 0 AS resolved, 0 AS reopened FROM seen WHERE NOT coalesce(alive, FALSE)
+ UNION ALL SELECT r.table_name, r.field, strftime(a.t, '%Y-%m'), 0, 1, 0 FROM refs r JOIN arrive a ON a.field = r.field AND a.key = r.key AND r.t < a.t
+ UNION ALL SELECT r.table_name, r.field, strftime(g.t, '%Y-%m'), 0, 0, 1 FROM refs r JOIN gone g ON g.field = r.field AND g.key = r.key AND r.t < g.t),
+months AS (SELECT table_name, field, period, sum(orphaned)::BIGINT AS orphaned, sum(resolved)::BIGINT AS resolved, sum(reopened)::BIGINT AS reopened FROM moves GROUP BY ALL)
+SELECT *, sum(orphaned - resolved + reopened) OVER (PARTITION BY table_name, field ORDER BY period)::BIGINT AS pending FROM months""",
     "p5_found": _P5 + "SELECT type, node_id, root_id, depth FROM tree",
     "p5_paths": _P5 + "SELECT t.*, coalesce(b.descendants, 0) AS descendants FROM tree t LEFT JOIN (SELECT type, ancestor_id, count(*) AS descendants FROM below GROUP BY ALL) b ON t.type = b.type AND t.node_id = b.ancestor_id",
     "p5_descendants": _P5 + "SELECT type, ancestor_id, node_id, depth - level AS distance FROM below",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codeloom.operators.orphans import OrphanState
 from codeloom.sources.files import graph_of, parsed
 from codeloom.sources.store import GraphStore
 from codeloom.util import shared_dir
@@ -67,31 +68,19 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
 
 
-def waiting_references(events: DataFrame) -> DataFrame:
-    """Pending orphans as a stream: ``field, key, at, waiting`` after each batch that changes a key.
+def orphan_stream(events: DataFrame, state: OrphanState, checkpoint: str, **trigger) -> StreamingQuery:
+    """Bring a stream of events (``field, key, at, kind, row_no``) into a stored orphan state, a batch at a time.
 
-    Per key the state is (alive, references so far): a reference to a parent that is not there waits, an
-    arrival resolves all that wait, a deletion reopens them.  Events: ``field, key, at, kind, row_no``.
+    A batch that is run again after a failure is known by its number and left out.
     """
-
-    def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        alive, refs = state.get if state.exists else (False, 0)
-        before = 0 if alive or not state.exists else refs
-        at = None
-        for b in pd.concat(list(batches)).sort_values(["at", "kind"]).itertuples():
-            alive, refs, at = (alive, refs + 1, b.at) if b.kind == 2 else (b.kind == 1, refs, b.at)
-        state.update((bool(alive), int(refs)))
-        waiting = 0 if alive else refs
-        if waiting != before:
-            yield pd.DataFrame({"field": [key[0]], "key": [key[1]], "at": [at], "waiting": [waiting]})
-
-    return events.groupBy("field", "key").applyInPandasWithState(step, "field string, key string, at timestamp, waiting long", "alive boolean, refs long", "update", "NoTimeout")
+    each = lambda batch, number: state.apply(batch, number=number)
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that waits into a table in memory (for tests and bounded inputs)."""
     spark: SparkSession = stream.sparkSession
-    where = f"{shared_dir(spark)}/codeloom/stream-{name}-{id(stream)}"
+    where = f"{shared_dir(spark)}/codeloom/stream-{name}-{uuid.uuid4().hex}"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)

@@ -27,19 +27,50 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR
 
 
-def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Cut the lineage: write ``df`` once to the shared folder and read it back (survives lost executors)."""
+def written(df: DataFrame, label: str, *by: str) -> tuple[DataFrame, str]:
+    """Cut the lineage: write ``df`` once to the shared folder (in parts ``by`` columns) and read it back (survives lost executors)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def drop_written(spark: SparkSession, path: str) -> None:
     """Delete a table of :func:`written` that nothing reads any more."""
+    fs, target = _path(spark, path)
+    fs.delete(target, True)
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, complete whenever it is read: written beside its place and renamed."""
+    fs, target = _path(spark, path)
+    _, beside = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
     jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(beside, target, options)
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None without it."""
+    fs, target = _path(spark, path)
+    if not fs.exists(target):
+        return None
+    size = fs.getFileStatus(target).getLen()
+    source = fs.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8") if size else ""
+    finally:
+        source.close()
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -80,14 +111,14 @@ def small_side(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(kept) if size <= limit else kept
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Inner join to a side with unique ``keys`` that is written and measured first: broadcast if small, else skew-safe."""
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], label: str, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join (inner or left) to a side with unique ``keys`` that is written and measured first: broadcast if small, else skew-safe."""
     kept, size = measured(right, label)
-    return left.join(F.broadcast(kept), keys) if size <= limit else skewed_lookup(left, kept, keys, max(1, left.count()))
+    return left.join(F.broadcast(kept), keys, how) if size <= limit else skewed_lookup(left, kept, keys, max(1, left.count()), how=how)
 
 
-def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int, one_in: int = 1000) -> DataFrame:
-    """Inner join of many rows to a side with unique ``keys``, whatever the skew of the left side.
+def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int, one_in: int = 1000, how: str = "inner") -> DataFrame:
+    """Join (inner or left) of many rows to a side with unique ``keys``, whatever the skew of the left side.
 
     Keys with at least one in ``one_in`` of the left's ``total`` rows are at most ``one_in``: their few right
     rows are broadcast, so that their left rows stay where they are.  All other rows are joined by shuffle.
@@ -95,8 +126,8 @@ def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int
     hot = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * one_in >= F.lit(total)).select(*keys, F.lit(True).alias("_hot"))
     tagged = left.join(F.broadcast(hot), keys, "left")
     few = right.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")
-    cold = tagged.where(F.col("_hot").isNull()).drop("_hot").join(right, keys)
-    warm = tagged.where(F.col("_hot")).drop("_hot").join(F.broadcast(few), keys)
+    cold = tagged.where(F.col("_hot").isNull()).drop("_hot").join(right, keys, how)
+    warm = tagged.where(F.col("_hot")).drop("_hot").join(F.broadcast(few), keys, how)
     return cold.unionByName(warm)
 
 

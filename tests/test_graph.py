@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 
+from codeloom.operators.orphans import OrphanState
 from codeloom.engine import GraphEngine
 from codeloom.functions import text as X
 from codeloom.model import NODE, shaped
@@ -135,7 +136,13 @@ def test_streams(spark, rows, tmp_path):
     t = dt.datetime(2025, 1, 1)
     ev = spark.createDataFrame([("f", "k", t, 2, 1), ("f", "k", t + dt.timedelta(1), 2, 2), ("f", "a", t, 1, None), ("f", "a", t + dt.timedelta(1), 2, 3), ("f", "b", t, 2, 4), ("f", "b", t + dt.timedelta(1), 1, None), ("f", "b", t + dt.timedelta(2), 0, None)], "field string, key string, at timestamp, kind int, row_no long")
     ev.write.parquet(str(tmp_path / "ev"))
-    out = watch.drained(watch.waiting_references(spark.readStream.schema(ev.schema).parquet(str(tmp_path / "ev"))), "waiting", "update")
-    assert rows(out.select("key", "waiting")) == [("b", 1), ("k", 2)]
+    stream, state = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "ev")), OrphanState(spark)
+    watch.orphan_stream(stream, state, str(tmp_path / "state")).awaitTermination()
+    assert rows(state.orphans().select("row_no", "state")) == [(1, "missing"), (2, "missing"), (4, "late")]
+    more = spark.createDataFrame([("f", "b", t + dt.timedelta(3), 2, 9)], ev.schema)
+    more.write.mode("append").parquet(str(tmp_path / "ev"))
+    again = OrphanState(spark, state.folder)
+    watch.orphan_stream(stream, again, str(tmp_path / "state")).awaitTermination()
+    assert rows(again.orphans().select("row_no", "state")) == [(1, "missing"), (2, "missing"), (4, "late"), (9, "deleted")]
     table = spark.createDataFrame([(t, "x"), (t + dt.timedelta(minutes=5), "x"), (t + dt.timedelta(hours=2), "y")], "ts timestamp, event_type string")
     assert [(r[1], r[2]) for r in rows(watch.windowed_counts(table))] == [("x", 2), ("y", 1)]
