@@ -111,29 +111,51 @@ def dominant(counts: list[int]) -> int | None:
 _TO = [{ord(c): row[i] for c, row in CLASS.items() if row[i] != "-"} for i in range(3)]
 
 
-def repairs(text: str) -> list[tuple[str, str]]:
-    """(word, repaired word) for the words of a clean text whose letters do not all fit their dominant script.
+_SCRIPT = [regex.compile(r"\p{%s}" % s.capitalize()) for s in SCRIPTS]
 
-    The dominant script is that of the word's letters without look-alikes; a word that has none takes the
-    text's.  Both depend on nothing but looks, so that texts that look alike propose the same repairs.
+
+def scripts(word: str) -> list[int]:
+    return [i for i in range(3) if _SCRIPT[i].search(word)]
+
+
+def spellings(base: str, script: int | None) -> list[tuple[str, int]]:
+    """(spelling, script) of a decomposed word with all its letters in one script: the given one, else in each that can."""
+    out = []
+    for s in range(3) if script is None else (script,):
+        w = unicodedata.normalize("NFC", base.translate(_TO[s]))
+        if scripts(w) == [s]:
+            out.append((w, s))
+    return out
+
+
+#: Clean spellings in Latin letters, clean ones in others, and mixed ones.
+LATIN, OTHER, MIXED = 0, 1, 2
+
+
+def suspects(text: str) -> tuple[int, list[tuple[str, str, bool, int, bool]]]:
+    """The dominant script of a clean text, and the spellings in question: of its mixed-script words and of words of look-alikes only.
+
+    A spelling is (word, look, settled, rank, own): ``look`` is the same for all words that look the same; a word is
+    ``settled`` if some letter of it looks like no other script's, so that its script shows; ``rank`` is LATIN,
+    OTHER or MIXED; ``own`` tells the text's words from the one-script spellings they might stand for.  Script,
+    look and settledness depend on nothing but looks.
     """
     if text.isascii() or not _OTHER.search(text):
-        return []
-    flat = unicodedata.normalize("NFD", text)
-    whole: int | None = -1
-    out = {}
+        return 0, []
+    ctx, out = dominant(solid_counts(unicodedata.normalize("NFD", text))) or 0, {}
     for word in set(_ALL_WORDS.findall(text)):
+        found = scripts(word)
+        if not found:
+            continue
         base = unicodedata.normalize("NFD", word)
-        if whole == -1:
-            whole = dominant(solid_counts(flat))
         script = dominant(solid_counts(base))
-        script = whole if script is None else script
-        if script is None:
-            script = 0
-        fixed = unicodedata.normalize("NFC", base.translate(_TO[script]))
-        if fixed != word:
-            out[word] = fixed
-    return sorted(out.items())
+        if script is not None and len(found) == 1:
+            continue
+        look, settled = skeleton(word), script is not None
+        out[word] = (word, look, settled, MIXED if len(found) > 1 else LATIN if found == [0] else OTHER, True)
+        for w, s in spellings(base, script):
+            out.setdefault(w, (w, look, settled, LATIN if s == 0 else OTHER, False))
+    return ctx, sorted(out.values())
 
 
 _ALL_WORDS = regex.compile(r"[\p{L}\p{M}]+")

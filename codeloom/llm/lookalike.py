@@ -1,9 +1,14 @@
 """One consistent form for texts that look the same.
 
 Method: script-aware repair.  A text is first brought to one form of widths, spaces, invisible characters and
-combining accents.  Then the dominant script of each word is taken from its letters without look-alikes, and
-look-alikes of other scripts are replaced, but only if the repaired word exists in the corpus vocabulary
-(written so somewhere, or meant by two different spellings).  See :mod:`codeloom.llm.chars`.
+combining accents.  In words of mixed scripts the dominant script is that of the letters that look like no other
+script's; their look-alikes are replaced by letters of that script, all or none, if the word so written stands in
+the corpus vocabulary: the corpus's words of one script.  Where it does not, but the mixed word itself is spelled
+in several ways, the most frequent of these is taken for all, so that nothing is written that nobody writes.
+
+A word of look-alikes only shows no script, be it mixed or not.  So that texts that look the same agree, it takes
+the spelling (one script first) that is most frequent in texts of the same dominant script; in Latin texts the
+Latin one, if it exists.  Words of one script with a letter that tells it are never changed.
 
 Letter case, accents, raised digits, fractions, kinds of dash and line breaks stay as they are.
 
@@ -19,44 +24,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.chars import clean, repairs, replace_words
-from codeloom.util import small_side, written
+from codeloom.llm.chars import MIXED, clean, replace_words, suspects
+from codeloom.util import lookup, small_side, written
 
 #: Documents of one look-alike group that a task joins at once.
 GROUP_ROWS = 1000
 
 
+_WORD = "word string, look string, settled boolean, rank int, own boolean"
+_WORDS = pa.list_(pa.struct([("word", pa.string()), ("look", pa.string()), ("settled", pa.bool_()), ("rank", pa.int32()), ("own", pa.bool_())]))
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("word", pa.string()), ("fixed", pa.string())]))
+    names = ("word", "look", "settled", "rank", "own")
     for b in batches:
         texts = [None if t is None else clean(t) for t in b.column(1).to_pylist()]
-        fixes = [[{"word": w, "fixed": f} for w, f in repairs(t)] if t else [] for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), pa.array(fixes, kind)], ["doc_id", "form", "raw", "fixes"])
+        found = [suspects(t or "") for t in texts]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), pa.array([c for c, _ in found], pa.int32()), pa.array([[dict(zip(names, w)) for w in ws] for _, ws in found], _WORDS)], ["doc_id", "form", "raw", "script", "words"])
 
 
 def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [replace_words(t, {x["word"]: x["fixed"] for x in fixed}) for t, fixed in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+        out = [replace_words(t, {x["word"]: x["best"] for x in fixed}) if fixed else t for t, fixed in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), b.column(2)], ["doc_id", "form", "raw"])
 
 
+def repairs(base: DataFrame) -> DataFrame:
+    """``word, script, best``: what replaces a word in texts of a dominant script (-1: in all, as the word shows its own)."""
+    asked = base.where(F.size("words") > 0).select(F.inline("words")).groupBy("word").agg(*[F.first(c).alias(c) for c in ("look", "settled", "rank")])
+    said = base.select("script", F.explode(F.split("form", r"[^\p{L}\p{M}]+")).alias("word")).where("word <> ''").groupBy("word", "script").agg(F.count(F.lit(1)).alias("n"))
+    where = F.when(F.col("settled"), -1).otherwise(F.col("script"))
+    found = lookup(said, asked, ["word"], "asked").groupBy("look", where.alias("script"), "word", "rank").agg(F.sum("n").alias("n"))
+    found, _ = written(found, "spellings")
+    rank = F.when(F.col("script") == 0, F.col("rank")).otherwise(F.when(F.col("rank") == MIXED, MIXED).otherwise(0))
+    best = found.groupBy("look", "script").agg(F.min_by("word", F.struct(rank, -F.col("n"), F.col("word"))).alias("best"), F.count(F.lit(1)).alias("ways")).where("ways > 1")
+    return found.join(best, ["look", "script"]).where("word <> best").select("word", "script", "best")
+
+
 def consistent_form(docs: DataFrame) -> DataFrame:
     """``doc_id, form, raw``: the consistent form of every text, and a digest of the text as it stands."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.sha2("text", 256).alias("raw"))
-    base, _ = written(base.mapInArrow(_cleaned, "doc_id bigint, form string, raw string, fixes array<struct<word:string,fixed:string>>"), "clean")
-    mixed = F.size("fixes") > 0
-    spellings = base.where(mixed).select(F.explode("fixes").alias("f")).select("f.word", "f.fixed").distinct()
-    wanted = small_side(spellings.groupBy("fixed").agg(F.count(F.lit(1)).alias("n")), "wanted")
-    # words of the corpus that a repair would lead to
-    corpus = base.select(F.explode(F.split("form", r"[^\p{L}\p{M}]+")).alias("fixed")).join(wanted.select("fixed"), "fixed", "left_semi").distinct()
-    exist = wanted.where("n > 1").select("fixed").union(corpus).distinct()
-    good = small_side(spellings.join(exist, "fixed", "left_semi"), "repairs")
-    touched = base.where(mixed).select("doc_id", "form", "raw", F.explode("fixes").alias("f")).select("doc_id", "form", "raw", "f.word", "f.fixed")
-    # a document's words are few; rows of a document meet by its id
-    touched = touched.join(good, ["word", "fixed"]).groupBy("doc_id").agg(F.first("form").alias("form"), F.first("raw").alias("raw"), F.collect_list(F.struct("word", "fixed")).alias("fixes"))
-    touched, _ = written(touched.mapInArrow(_replaced, "doc_id bigint, form string, raw string"), "repaired")
-    rest = base.where(mixed).join(touched.select("doc_id"), "doc_id", "left_anti").select("doc_id", "form", "raw")
-    return base.where(~mixed).select("doc_id", "form", "raw").unionByName(rest).unionByName(touched)
+    base, _ = written(base.mapInArrow(_cleaned, f"doc_id bigint, form string, raw string, script int, words array<struct<{_WORD.replace(' ', ':').replace(',:', ',')}>>"), "clean")
+    # ids and words only: the texts stay where they are
+    own = base.where(F.size("words") > 0).select("doc_id", F.col("script").alias("doc_script"), F.inline("words")).where("own")
+    own = own.select("doc_id", "word", F.when(F.col("settled"), -1).otherwise(F.col("doc_script")).alias("script"))
+    fixes = lookup(own, repairs(base), ["word", "script"], "repairs").groupBy("doc_id").agg(F.collect_set(F.struct("word", "best")).alias("fixes"))
+    rest = base.select("doc_id", "form", "raw")
+    return lookup(rest, fixes, ["doc_id"], "fixes", "left").select("doc_id", "form", "raw", "fixes").mapInArrow(_replaced, "doc_id bigint, form string, raw string")
 
 
 def lookalike_pairs(docs: DataFrame) -> DataFrame:

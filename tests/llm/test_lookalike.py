@@ -1,3 +1,4 @@
+import random
 import unicodedata
 
 from codeloom.llm import chars
@@ -37,6 +38,42 @@ def test_a_repair_nobody_writes_is_left(spark):
     assert {r["doc_id"]: r["form"] for r in consistent_form(docs).collect()} == {0: "unique wоrdz here", 1: None, 2: ""}
 
 
+def test_words_of_one_script_stay_in_texts_of_another(spark):
+    greek, russian = "Η πόλη και το ποτάμι The THE is λιμάνι", "Старый мост is The ТНЕ река"
+    texts = [greek, russian, "plain words is The THE", "more plain words is The THE", "is іѕ THE ΤΗΕ cat"]
+    got = {r["doc_id"]: r["form"] for r in consistent_form(_docs(spark, texts)).collect()}
+    # the look-alike spellings occur in Latin texts as well: there they are repaired
+    assert got == {0: greek, 1: russian, 2: texts[2], 3: texts[3], 4: "is is THE THE cat"}
+
+
+def test_words_of_look_alikes_only_agree_within_texts_of_one_script(spark, rows):
+    texts = ["Старый мост х река", "Старый мост x река", "Новый х лес", "plain x words", "plain х words", "plain x other"]
+    got = {r["doc_id"]: r["form"] for r in consistent_form(_docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: texts[0], 2: texts[2], 3: texts[3], 4: texts[3], 5: texts[5]}
+    assert rows(lookalike_pairs(_docs(spark, texts))) == [(0, 1), (3, 4)]
+
+
+def test_a_repair_is_whole_or_none(spark):
+    # q has no Greek look-alike: the word can't be written in one script, its most frequent spelling is taken
+    texts = ["Ωqο leaf", "Ωqο tree", "Ωqo leaf"]
+    got = {r["doc_id"]: r["form"] for r in consistent_form(_docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: texts[1], 2: texts[0]}
+
+
+def test_forms_are_equal_for_texts_that_look_alike_and_for_no_others(spark):
+    rng = random.Random(6)
+    words = ["is", "sea", "The", "THE", "wooden", "мост", "река", "а", "о", "Η", "πόλη", "x", "café", "cοde"]
+    swap = {"a": "а", "e": "е", "o": "оο", "c": "с", "x": "х", "s": "ѕ", "i": "і", "T": "ТΤ", "H": "НΗ", "E": "ЕΕ", "а": "a", "о": "oο", "Η": "HН"}
+    texts = []
+    for _ in range(60):
+        plain = " ".join(rng.choice(words) for _ in range(rng.randrange(1, 5)))
+        texts += [plain, "".join(rng.choice(swap[ch]) if ch in swap and rng.random() < 0.5 else ch for ch in plain)]
+    got = {r["doc_id"]: r["form"] for r in consistent_form(_docs(spark, texts)).collect()}
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts[:i]):
+            assert (got[i] == got[j]) == (chars.skeleton(a) == chars.skeleton(b)), (a, b, got[i], got[j])
+
+
 def test_a_large_group_is_joined_in_parts(spark, rows, monkeypatch):
     from codeloom.llm import lookalike
 
