@@ -29,6 +29,11 @@ def p2_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_found(spark, sf_dir).groupBy("table_name", "project_id", "snapshot_no", "change").agg(F.count(F.lit(1)).alias("n_records"))
 
 
+def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and rows that equal digests spare."""
+    return snapshots.graph_chunks(table(spark, sf_dir, "slice_nodes"), table(spark, sf_dir, "slice_edges"))
+
+
 def _orphans(spark: SparkSession, sf_dir: str, counts: bool) -> orphans.OrphanState:
     references = orphans.reference_events(table(spark, sf_dir, "edge_keys"), table(spark, sf_dir, "findings"))
     return orphans.replayed(references, orphans.parent_events(*(table(spark, sf_dir, t) for t in ("slice_nodes", "library_nodes", "files"))), counts)
@@ -56,7 +61,7 @@ def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy.descendants(hierarchy.hierarchy(hierarchy.tree_links(table(spark, sf_dir, "edge_keys"))))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_key_figures, p1_heaviest_callers, p2_found, p2_change_counts, p4_found, p4_pending, p5_found, p5_paths, p5_descendants)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_key_figures, p1_heaviest_callers, p2_found, p2_change_counts, p2_chunks, p4_found, p4_pending, p5_found, p5_paths, p5_descendants)}
 
 _P2 = """
 WITH n AS (SELECT project_id, snapshot_no, label || ':' || fq_name AS record_key, {'a': callee_count, 'b': file_id, 'c': start_line, 'd': end_line} AS v, delivered_at FROM slice_nodes WHERE snapshot_no IS NOT NULL),
