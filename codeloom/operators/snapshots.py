@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from codeloom.util import lookup, written
 
 #: Mean rows of a chunk (a power of two), and rows of all deliveries that a key range should hold.
-CHUNK_ROWS, RANGE_ROWS = 8, 20_000
+CHUNK_ROWS, RANGE_ROWS = 4, 20_000
 
 
 def deliveries(df: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
