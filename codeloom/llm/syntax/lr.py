@@ -4,6 +4,10 @@ Grammar text: one rule a line, ``name: symbols | symbols``; quoted symbols and n
 terminals; ``x?``, ``x*``, ``x+`` and ``( a | b )`` have their usual meaning; ``%empty`` is the empty string.
 Where the tables leave a choice, all ways are followed at once in one graph of stacks, so that a grammar may be
 ambiguous: only whether a text belongs to the language is asked.
+
+A stack holds nothing but states, so that the same stacks come back all the time, in one text and from text to
+text.  Equal graphs of stacks are therefore kept as one, with the step that each token led to: most tokens cost
+one lookup, as in a finite automaton that is built while it runs.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ import re
 from collections import defaultdict
 
 END = "$end"
+#: Graphs of stacks that are remembered before all are forgotten (memory bound).
+REMEMBERED = 300_000
 _PART = re.compile(r"'[^']+'|%empty|[A-Za-z_]\w*|[()|?*+]")
 
 
@@ -106,6 +112,7 @@ class Tables:
             of[lhs].append(i)
         follow = self._follow(rules, names)
         self._build(rules, names, of, follow)
+        self._forget()
 
     @staticmethod
     def _follow(rules, names) -> dict[str, set[str]]:
@@ -181,11 +188,11 @@ class Tables:
             self.actions.append({t: (shift.get(t, -1), tuple(reduce.get(t, ()))) for t in {*shift, *reduce}})
         self.shifts = []
 
-    def feed(self, level: list[list], token: str) -> list[list]:
+    def _feed(self, level: list[list], token: str) -> list[list]:
         """Tops after one more token; none if it does not fit.
 
-        The stacks are a graph: a node is [state, node below, further nodes below or None]; tops of one state
-        are one node, so that the work stays polynomial however many readings a text has.
+        The stacks are a graph: a node is [state, node below, further nodes below or None, number or None]; tops of
+        one state are one node, so that the work stays polynomial however many readings a text has.
         """
         actions, gotos = self.actions, self.gotos
         if len(level) == 1:  # the usual case: one stack, one thing to do
@@ -196,7 +203,7 @@ class Tables:
                     return []
                 to, reduce = act
                 if not reduce:
-                    return [[to, node, None]]
+                    return [[to, node, None, None]]
                 if to >= 0 or len(reduce) > 1:
                     break
                 lhs, n = reduce[0]
@@ -208,8 +215,9 @@ class Tables:
                     n -= 1
                 if n:
                     break
-                node = [gotos[below[0]][lhs], below, None]
+                node = [gotos[below[0]][lhs], below, None, None]
             level = [node]
+        level = [[*node[:3], None] for node in level]  # nodes that are remembered are never changed
         active = {node[0]: node for node in level}
         work, done, accepted = list(level), [], []
         todo: list[tuple[list, str]] = []
@@ -219,7 +227,7 @@ class Tables:
                 state = gotos[below[0]][lhs]
                 top = active.get(state)
                 if top is None:
-                    active[state] = top = [state, below, None]
+                    active[state] = top = [state, below, None, None]
                     work.append(top)
                 elif below is not top[1] and not (top[2] and any(x is below for x in top[2])):
                     top[2] = [*(top[2] or ()), below]
@@ -243,28 +251,83 @@ class Tables:
                 if to in out:
                     out[to][2] = [*(out[to][2] or ()), node]
                 else:
-                    out[to] = [to, node, None]
+                    out[to] = [to, node, None, None]
         return list(out.values())
 
-    def first_error(self, tokens, inserted: str | None = None, may_insert=None, close: str | None = None) -> int:
+    def _forget(self) -> None:
+        self._nodes: dict[tuple, list] = {}
+        self._graphs: dict[tuple[int, ...], Graph] = {}
+        self._start = self._graph([[0, None, None, None]])
+
+    def _kept(self, node: list, above: tuple[int, ...] = ()) -> list | None:
+        """The remembered node equal to this one; None if its graph runs in a circle."""
+        if node[3] is not None:
+            return node
+        if id(node) in above:
+            return None
+        belows = []
+        for x in (node[1], *(node[2] or ())):
+            if x is not None:
+                x = self._kept(x, (*above, id(node)))
+                if x is None:
+                    return None
+                belows.append(x)
+        belows = sorted({x[3]: x for x in belows}.values(), key=lambda x: x[3])
+        key = (node[0], *[x[3] for x in belows])
+        old = self._nodes.get(key)
+        if old is None:
+            old = self._nodes[key] = [node[0], belows[0] if belows else None, belows[1:] or None, len(self._nodes)]
+        return old
+
+    def _graph(self, tops: list[list]) -> Graph:
+        kept = [self._kept(x) for x in tops]
+        if any(x is None for x in kept):
+            return Graph(tops)
+        key = tuple(sorted(x[3] for x in kept))
+        return self._graphs.setdefault(key, Graph(kept))
+
+    def _step(self, graph: Graph, token: str) -> Graph:
+        """The graph after a token; one without tops if the token does not fit."""
+        tops = self._feed(graph.tops, token)
+        graph.after[token] = new = self._graph(tops) if tops else NOTHING
+        return new
+
+    def first_error(self, tokens, inserted: str | None = None, may_insert=None) -> int:
         """Index of the first token that cannot be fitted in, -1 if the tokens are a sentence.
 
         ``inserted`` is a token that may be put before token i where ``may_insert(i)`` (automatic semicolons).
         """
-        stacks = [[0, None, None]]
-        feed = self.feed
-        i = 0
+        if len(self._nodes) > REMEMBERED:
+            self._forget()
+        graph, step = self._start, self._step
         for i, t in enumerate(tokens):
-            new = feed(stacks, t)
-            if not new and inserted is not None and may_insert(i):
-                new = feed(stacks, inserted)
-                new = feed(new, t) if new else new
-            if not new:
-                return i
-            stacks = new
-        n = len(tokens)
-        new = feed(stacks, END)
-        if not new and inserted is not None:
-            new = feed(stacks, inserted)
-            new = feed(new, END) if new else new
-        return -1 if new else n
+            new = graph.after.get(t) or step(graph, t)
+            if new is NOTHING:
+                if inserted is None or not may_insert(i):
+                    return i
+                new = graph.after.get(inserted) or step(graph, inserted)
+                if new is NOTHING:
+                    return i
+                new = new.after.get(t) or step(new, t)
+                if new is NOTHING:
+                    return i
+            graph = new
+        if (graph.after.get(END) or step(graph, END)) is not NOTHING:
+            return -1
+        if inserted is not None:
+            new = graph.after.get(inserted) or step(graph, inserted)
+            if new is not NOTHING and (new.after.get(END) or step(new, END)) is not NOTHING:
+                return -1
+        return len(tokens)
+
+
+class Graph:
+    """The tops of a graph of stacks, and the graphs that tokens led to from here."""
+
+    __slots__ = ("after", "tops")
+
+    def __init__(self, tops: list[list]) -> None:
+        self.tops, self.after = tops, {}
+
+
+NOTHING = Graph([])
