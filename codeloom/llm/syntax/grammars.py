@@ -142,7 +142,9 @@ item: expr | '{' elements? '}'
 C = """
 file: top+ | %empty
 top: function | declaration | ';' | asm ';'
-function: specs? declarator declaration* block
+function: specs? fdeclarator declaration* block
+fdeclarator: pointer* fdirect attr*
+fdirect: direct '(' params? ')' | direct '(' NAME (',' NAME)* ')' | '(' attr* fdeclarator ')'
 declaration: specs (init_decl (',' init_decl)*)? ';' | '_Static_assert' '(' expr (',' strings)? ')' ';'
 init_decl: declarator attr* ('=' init)?
 specs: qual* core qual*
@@ -169,7 +171,7 @@ init_item: (designator+ '=')? init
 designator: '[' expr ('...' expr)? ']' | '.' NAME
 block: '{' item* '}'
 item: declaration | statement | function_item
-function_item: specs declarator block
+function_item: specs fdeclarator block
 statement: block | commas? ';' | 'if' '(' commas ')' statement ('else' statement)? | 'switch' '(' commas ')' statement | 'while' '(' commas ')' statement | 'do' statement 'while' '(' commas ')' ';'
     | 'for' '(' (commas? ';' | declaration) commas? ';' commas? ')' statement | 'goto' NAME ';' | 'continue' ';' | 'break' ';' | 'return' commas? ';' | label statement | label declaration | asm ';'
 label: NAME ':' | 'case' expr ('...' expr)? ':' | 'default' ':'

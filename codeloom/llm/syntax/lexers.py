@@ -157,63 +157,100 @@ _C_DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w*)((?:[^\\\n]|\\\r?\n|\\)*)(?:\n|\Z)
 _C_DIRECTIVES = _words("define include include_next ifdef ifndef if elif else endif undef pragma error warning line ident import")
 
 
-def _c_directives(text: str) -> tuple[str, int]:
-    """Directives blanked out, as are all branches of a condition but the first; offset of a bad one or -1."""
-    if "#" not in text:
-        return text, -1
-    out, pos, conditions, skip = [], 0, [], 0
-    line_start = re.compile(r"[^\n]*(?:\n|\Z)")
+_C_HEADER = re.compile(r"\s*(?:<[^<>\n]+>|\"[^\"\n]+\"|[A-Za-z_]\w*)")
+#: Conditions that no C compiler takes.
+_C_NEVER = re.compile(r"\s*(?:0+[uUlL]*|\(\s*0+\s*\)|defined\s*\(?\s*__cplusplus\s*\)?)\s*(?://.*|/\*.*)?$", re.S)
+_C_LINE = re.compile(r"[^\n]*(?:\n|\Z)")
+_C_MARKS = re.compile(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*|\*/')
+
+
+class _Condition:
+    """A group of branches; the numbers of those that some compiler may take."""
+
+    def __init__(self) -> None:
+        self.branch, self.live, self.closed = -1, [], False
+
+    def opened(self, never: bool) -> None:
+        self.branch += 1
+        if not never:
+            self.live.append(self.branch)
+
+
+def _c_lines(text: str) -> tuple[list[tuple[str, tuple]], int, str]:
+    """The lines, directives blanked, each with the (condition, branch) it lies in; offset of a bad directive or -1; its name."""
+    out, pos, path, bad = [], 0, [], -1
     in_comment = False
     while pos < len(text):
         d = None if in_comment else _C_DIRECTIVE.match(text, pos)
         if d:
-            word = d.group(1)
-            if word.isdigit() or not word and not d.group(2).strip():
-                pass
-            elif word not in _C_DIRECTIVES:
-                if not skip:
-                    return text, d.start(1)
-            elif word in ("if", "ifdef", "ifndef"):
-                conditions.append(False)
+            word, rest = d.group(1), d.group(2)
+            dead = any(b not in g.live for g, b in path)
+            if word in ("if", "ifdef", "ifndef"):
+                group = _Condition()
+                group.opened(word == "if" and bool(_C_NEVER.match(rest)) or word == "ifdef" and rest.strip() == "__cplusplus")
+                path.append((group, 0))
             elif word in ("elif", "else"):
-                if not conditions:
-                    return text, d.start(1)
-                if not conditions[-1]:
-                    conditions[-1] = True
-                    skip += 1
+                if not path or path[-1][0].closed:
+                    return out, d.start(1), word
+                group = path.pop()[0]
+                group.closed = word == "else"
+                group.opened(word == "elif" and bool(_C_NEVER.match(rest)))
+                path.append((group, group.branch))
             elif word == "endif":
-                if not conditions:
-                    return text, d.start(1)
-                skip -= conditions.pop()
-            elif word in ("include", "define") and not skip and not d.group(2).strip():
-                return text, d.start(1)
+                if not path:
+                    return out, d.start(1), word
+                path.pop()
+            elif not dead and bad < 0 and (word not in _C_DIRECTIVES and not word.isdigit() and (word or rest.strip()) or word == "define" and not rest.strip() or word in ("include", "include_next", "import") and not _C_HEADER.match(rest)):
+                bad = d.start(1)
             body = d.group()
-            out.append(re.sub(r"[^\n]", " ", body))
-            pos = d.end()
+            kept = re.sub(r"[^\n]", " ", body)
             if "/*" in body and "*/" not in body[body.rindex("/*") :]:
                 in_comment = True
-                out[-1] = out[-1][: body.rindex("/*")] + body[body.rindex("/*") :]
+                kept = kept[: body.rindex("/*")] + body[body.rindex("/*") :]
+            out.append((kept, tuple(path)))
+            pos = d.end()
             continue
-        m = line_start.match(text, pos)
-        line = m.group()
-        out.append(re.sub(r"[^\n]", " ", line) if skip else line)
-        for c in re.findall(r'"(?:[^"\\\n]|\\.)*"|//[^\n]*|/\*|\*/' if not in_comment else r"/\*|\*/", line):
-            if c == "/*":
-                in_comment = True
-            elif c == "*/":
-                in_comment = False
-        pos = m.end()
-        if m.end() == m.start():
-            break
-    return "".join(out), (len(text) if conditions else -1)
+        line = _C_LINE.match(text, pos).group()
+        out.append((line, tuple(path)))
+        for mark in _C_MARKS.findall(line) if not in_comment else re.findall(r"/\*|\*/", line):
+            in_comment = mark == "/*" if mark in ("/*", "*/") else in_comment
+        pos += len(line)
+    return out, len(text) if path and bad < 0 else bad, "endif"
+
+
+def _c_variants(text: str) -> tuple[list[str], int]:
+    """The texts compilers may see, directives blanked out: of every condition the first branch, then the second and
+    so on (the last where there are fewer), so that each branch is in one of them; offset of a bad directive or -1.
+    """
+    if "#" not in text:
+        return [text], -1
+    lines, bad, _ = _c_lines(text)
+    groups = {id(g): g for _, path in lines for g, _ in path}
+    blank = {}
+    out = []
+    for k in range(max([1, *(len(g.live) for g in groups.values())])):
+        chosen = {i: g.live[min(k, len(g.live) - 1)] if g.live else -1 for i, g in groups.items()}
+        shown = []
+        for i, (line, path) in enumerate(lines):
+            if all(chosen[id(g)] == b for g, b in path):
+                shown.append(line)
+            else:
+                if i not in blank:
+                    blank[i] = re.sub(r"[^\n]", " ", line)
+                shown.append(blank[i])
+        out.append("".join(shown))
+    return out, bad
+
+
+_C_NAMES = {"str": "STRING", "chr": "CHAR", "num": "NUMBER"}
 
 
-def c(text: str) -> Stream:
-    text, bad = _c_directives(text.removeprefix("\ufeff"))
+def c(text: str) -> list[Stream]:
+    """A stream for each way to choose among the branches of conditions."""
+    variants, bad = _c_variants(text.removeprefix("\ufeff"))
     if bad >= 0:
-        return [ERROR], [bad]
-    names = {"str": "STRING", "chr": "CHAR", "num": "NUMBER"}
-    return _run(_C, text, lambda k, t: None if k == "blank" else _C_KEYWORDS.get(t, "NAME") if k == "id" else names[k] if k in names else _C_OPS.get(t, t))
+        return [([ERROR], [bad])]
+    return [_run(_C, t, lambda k, t: None if k == "blank" else _C_KEYWORDS.get(t, "NAME") if k == "id" else _C_NAMES[k] if k in _C_NAMES else _C_OPS.get(t, t)) for t in variants]
 
 
 # ---------------------------------------------------------------- Go
@@ -328,8 +365,83 @@ _JS_VALUE = _words("NAME NUMBER STRING REGEX TEMPLATE TEMPLATE_TAIL PRIVATE ) ]
 _JS_RESTRICTED = _words("return break continue throw yield")
 
 
-def _ecma(text: str, words: frozenset[str], plain: frozenset[str]) -> tuple[list[str], list[int], list[bool]]:
-    """Names, offsets, and whether a line end stands before the token."""
+_JSX_START = re.compile(r"<(?:>|(?![^<>=]*?\bextends\b)[A-Za-z_$][\w$]*(?:[.:-][\w$]+)*(?=[\s/>{]))")
+_JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_JSX_BLANK = re.compile(r"(?:\s|/\*(?:[^*]|\*(?!/))*\*/|//[^\n]*)*")
+_JSX_TEXT = re.compile(r"[^{}<>]*")
+_JSX_STRING = re.compile(r"\"[^\"]*\"|'[^']*'")
+
+
+class _Element:
+    """An element of markup in a script: its open tags, and whether the place is within a tag."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.inside = self.shown = False
+
+    def scan(self, text: str, pos: int) -> tuple[int, str]:
+        """Up to an expression ('expression': after its brace) or the end ('end'); 'error' where the markup is wrong."""
+        while True:
+            if self.inside:
+                pos = _JSX_BLANK.match(text, pos).end()
+                if text.startswith("/>", pos):
+                    self.tags.pop()
+                    self.inside, pos = False, pos + 2
+                    if not self.tags:
+                        return pos, "end"
+                elif text.startswith(">", pos):
+                    self.inside, pos = False, pos + 1
+                elif text.startswith("{", pos):
+                    pos, more = self._braced(text, pos)
+                    if more:
+                        return pos, "expression"
+                else:
+                    m = _JSX_NAME.match(text, pos)
+                    if m is None:
+                        return pos, "error"
+                    pos = _JSX_BLANK.match(text, m.end()).end()
+                    if text.startswith("=", pos):
+                        pos = _JSX_BLANK.match(text, pos + 1).end()
+                        if not text.startswith("{", pos):
+                            m = _JSX_STRING.match(text, pos)
+                            if m is None:
+                                return pos, "error"
+                            pos = m.end()
+                continue
+            pos = _JSX_TEXT.match(text, pos).end() if self.tags else pos
+            if text.startswith("{", pos) and self.tags:
+                pos, more = self._braced(text, pos)
+                if more:
+                    return pos, "expression"
+            elif text.startswith("</", pos):
+                m = re.compile(r"</\s*([\w$.:-]*)\s*>").match(text, pos)
+                if m is None or not self.tags or self.tags.pop() != m[1]:
+                    return pos, "error"
+                pos = m.end()
+                if not self.tags:
+                    return pos, "end"
+            elif text.startswith("<>", pos):
+                self.tags.append("")
+                pos += 2
+            elif text.startswith("<", pos) and (m := _JSX_NAME.match(text, pos + 1)):
+                self.tags.append(m[0])
+                self.inside, pos = True, m.end()
+            else:
+                return pos, "error"
+
+    def _braced(self, text: str, pos: int) -> tuple[int, bool]:
+        """Behind a brace that holds only comments, or behind an opening one and a spread's dots."""
+        after = _JSX_BLANK.match(text, pos + 1).end()
+        if text.startswith("}", after):
+            return after + 1, False
+        return (after + 3, True) if text.startswith("...", after) else (pos + 1, True)
+
+
+def _ecma(text: str, words: frozenset[str], plain: frozenset[str], markup: bool = False) -> tuple[list[str], list[int], list[bool]]:
+    """Names, offsets, and whether a line end stands before the token.
+
+    An element of markup is named as a template: its expressions stand between its head, middle and tail.
+    """
     kinds, at, fresh = [], [], []
     pos, n, match, braces, line = 0, len(text), _JS.match, [], True
     if text.startswith("#!"):
@@ -342,6 +454,19 @@ def _ecma(text: str, words: frozenset[str], plain: frozenset[str]) -> tuple[list
 
     while pos < n:
         ch = text[pos]
+        if ch == "}" and braces and isinstance(braces[-1], _Element) or markup and ch == "<" and (kinds[-1] if kinds else "") not in _JS_VALUE and _JSX_START.match(text, pos):
+            element, start = (braces.pop(), pos) if ch == "}" else (_Element(), pos)
+            pos, what = element.scan(text, pos + (ch == "}"))
+            if what == "error":
+                put(ERROR, pos)
+                break
+            more = what == "expression"
+            put(("TEMPLATE_MID" if more else "TEMPLATE_TAIL") if element.shown else "TEMPLATE_HEAD" if more else "TEMPLATE", start)
+            if more:
+                element.shown = True
+                braces.append(element)
+            line = False
+            continue
         if ch == "`" or ch == "}" and braces and braces[-1]:
             if ch == "}":
                 braces.pop()
@@ -405,3 +530,46 @@ def javascript(text: str) -> tuple[list[str], list[int], list[bool]]:
 
 def typescript(text: str) -> tuple[list[str], list[int], list[bool]]:
     return _ecma(text.removeprefix("\ufeff"), _JS_WORDS, _TS_WORDS)
+
+
+def jsx(text: str) -> tuple[list[str], list[int], list[bool]]:
+    return _ecma(text.removeprefix("\ufeff"), _JS_WORDS, frozenset(), markup=True)
+
+
+def tsx(text: str) -> tuple[list[str], list[int], list[bool]]:
+    return _ecma(text.removeprefix("\ufeff"), _JS_WORDS, _TS_WORDS, markup=True)
+
+
+_BLOCK_HEADS = _words("if for while switch catch with await")
+_BLOCK_BEFORE = _words("; { else try finally do")
+
+
+def stray_return(kinds: list[str]) -> int:
+    """Index of a return that no function holds, -1 without one.
+
+    Braces that may belong to a function, class or object are taken to do so; sure blocks are those that begin a
+    statement or follow the head of a statement that has one.
+    """
+    if "return" not in kinds:
+        return -1
+    sure: list[bool] = []
+    heads: list[str] = []
+    closed = before = ""
+    for i, k in enumerate(kinds):
+        if k == "{":
+            sure.append(before in _BLOCK_BEFORE or not i or before == ")" and closed in _BLOCK_HEADS)
+        elif k == "}":
+            if sure:
+                sure.pop()
+        elif k == "(":
+            heads.append(before)
+        elif k == ")":
+            closed = heads.pop() if heads else ""
+        elif k == "TEMPLATE_HEAD":
+            sure.append(False)
+        elif k == "TEMPLATE_TAIL" and sure:
+            sure.pop()
+        elif k == "return" and before not in (".", "?.") and all(sure) and (i + 1 == len(kinds) or kinds[i + 1] not in (":", "(", "=", ",", "?")):
+            return i
+        before = k
+    return -1

@@ -14,7 +14,7 @@ GOOD = {
     "typescript": ["export interface A<T extends object = {}> extends B<T> { readonly a?: T[]; [k: string]: any; (x: number): string; m<U>(u: U): void }", "type F = { [K in keyof T]?: T[K] extends (infer U)[] ? U : never } & Partial<X> | `a${string}`", "abstract class C<T> implements I, J { constructor(private readonly x: number, y?: string) { super() } protected abstract f(): void; static g = <T,>(a: T) => a as unknown as T }", "enum E { A = 1, 'b' }\ndeclare module 'm' { export function f(x: number): asserts x is 1; }\nnamespace N.M { const a = 1 }", "const x = <const>['a'], y = z!.w satisfies Q, f = (a: number, ...b: string[]): a is 3 => true, m = new Map<string, Array<number>>()", "import type { A } from './a'\nexport type { A }\nlet v: typeof import('x').y, t: [a: string, b?: number], u: (new () => X)[]", "@Dec({a: 1}) class D { @Input() name!: string; get v(): number { return 1 } }", "function f(this: Window, a?: number): void\nfunction f(a: any) { return a < b && c > d }"],
     "java": ["package a.b; import static c.D.*; @A(x = {1, 2}) public final class E<T extends F & G> extends H<T[]> implements I { static { } private int[] a = {1, 2}, b[]; E() { this(1); } <U> U f(final List<? super U> x, int... y) throws Z { return (U) (x) -> { }; } }", "record P(int x, String y) { P { if (x < 0) throw new X(); } }\nsealed interface S permits P, Q {}\nenum N { A(1) { void f() {} }, B; int g; }", "class A { void f() { for (int i = 0, j = 1; i < 3; i++, j--) ; for (var x : y) { } try (var r = a(); s) { } catch (X | Y e) { } finally { } int r = switch (x) { case 1, 2 -> 3; default -> { yield 4; } }; String t = \"\"\"\n  x \"q\"\n  \"\"\"; a.<B>c()::d; } }".replace("a.<B>c()::d;", "F g = a.<B>c()::d;"), "class A { int x = a >> 2 >>> 1; boolean b = o instanceof String s && s.length() > 1; Map<String, List<int[]>> m = new HashMap<>(); Object o = new int[3][]; Runnable r = A::new; }", "@interface X { int v() default 1; } class record { int record; }"],
     "go": ["package p\nimport (\n\tx \"y\"\n)\ntype T struct { A, B int `json:\"a\"`; *C }\nfunc (t *T) F(a int, b ...string) (c map[string][]int, err error) {\n\tif x := f(); x != nil { return nil, x }\n\tfor i, v := range []T{{A: 1}, {}} { go func() { ch <- v }() }\n\tswitch y := z.(type) { case int, *T: fallthrough; default: }\n\tselect { case <-done: }\n\treturn\n}\n", "package p\nfunc M[K comparable, V int | ~string](m map[K]V) []V { var r []V; for _, v := range m { r = append(r, v) }; return r[1:len(r)-1] }\nconst ( A = iota; B )\nvar _ interface { F(); ~int | string } = nil\n"],
-    "c": ["#include <a.h>\n#if X\nint a;\n#else\nbroken {\n#endif\n#define M(x) \\\n  (x)\ntypedef struct s { unsigned b : 3; union { int c; } d[2]; } t, *u;\nstatic inline const char *f(t *x, int (*g)(int, ...), ...) { for (int i = 0; i < 3; ++i) { if (x->d[i].c) goto end; } end: return (char *)x + sizeof(t) * 2, \"a\" \"b\"; }\nenum { A = 1, B, };\nint arr[] = { [0] = 1, [2] = {3} };\nstruct p q = { .x = 1, .y = { 2 } };\n", "int main(void) { do { switch (x) { case 1: case 'a': break; default: ; } } while (0); a ? b : c; return -1L; }\n"],
+    "c": ["#include <a.h>\n#if X\nint a;\n#else\nint b;\n#endif\n#define M(x) \\\n  (x)\ntypedef struct s { unsigned b : 3; union { int c; } d[2]; } t, *u;\nstatic inline const char *f(t *x, int (*g)(int, ...), ...) { for (int i = 0; i < 3; ++i) { if (x->d[i].c) goto end; } end: return (char *)x + sizeof(t) * 2, \"a\" \"b\"; }\nenum { A = 1, B, };\nint arr[] = { [0] = 1, [2] = {3} };\nstruct p q = { .x = 1, .y = { 2 } };\n", "int main(void) { do { switch (x) { case 1: case 'a': break; default: ; } } while (0); a ? b : c; return -1L; }\n"],
     "sql": ["-- c\nCREATE TABLE IF NOT EXISTS a.b (id BIGINT NOT NULL PRIMARY KEY, n VARCHAR(64) DEFAULT 'x''y', d DECIMAL(12, 2), CONSTRAINT c FOREIGN KEY (n) REFERENCES z (id) ON DELETE CASCADE);\nINSERT INTO a (x, y) VALUES (1, CURRENT_TIMESTAMP), (2, NULL);", "WITH t AS (SELECT DISTINCT a, count(*) AS n FROM b LEFT JOIN c ON b.i = c.i GROUP BY a HAVING count(*) > 1) SELECT t.*, CASE WHEN n > 1 THEN 'x' ELSE 'y' END k, row_number() OVER (PARTITION BY a ORDER BY n DESC) FROM t WHERE a IN (SELECT max(q) FROM z) AND n NOT BETWEEN 1 AND 2 OR x IS NOT NULL ORDER BY 1 LIMIT 5;", "UPDATE a SET b = b + 1 WHERE c LIKE '%x'; DELETE FROM a; ALTER TABLE a ADD COLUMN b INT; DROP TABLE IF EXISTS a; CREATE UNIQUE INDEX i ON a (b, c DESC)"],
 }
 BAD = {
@@ -85,3 +85,56 @@ def test_files_and_rates(spark, rows):
     scans = spark.createDataFrame([(1, "p", 3), (1, "p", 3), (2, "p", None), (3, "p", 4)], "scan_id long, project_id string, files_skipped long")
     assert rows(broken_rates(files, scans)) == [("p", "json", 1, 0, 0.0, 7), ("p", "python", 2, 1, 0.5, 7), ("q", "json", 2, 1, 0.5, None)]
     assert rows(broken_files(files.where("false"))) == []
+
+
+@pytest.mark.parametrize(
+    "good, text",
+    [
+        (False, "int f(void) {\n#ifdef A\n  return 1;\n#else\n  return 1 +;\n#endif\n}\n"),
+        (False, "int f(void) {\n#if A\n  return 1;\n#elif B\n  return 2 2;\n#else\n  return 3;\n#endif\n}\n"),
+        (True, "int f(void) {\n#ifdef A\n  if (x) {\n#else\n  if (y) {\n#endif\n  }\n  return 1;\n}\n"),
+        (True, "#if 0\nthis is no code \"at all\n#bogus\n#else\nint x;\n#endif\n"), (True, "#if (0)\n}{\n#endif\nint x;\n"),
+        (True, "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#ifdef __cplusplus\n}\n#endif\n"),
+        (False, "#ifdef A\nint x;\n"), (False, "#ifdef A\n#else\n#else\n#endif\n"), (False, "#else\n"), (False, "#bogus\n"), (False, "#include <std"), (True, "#include <a.h>\n#include \"b.h\"\n#include HEADER\n"),
+        (False, "<<<<<<< a\nint x;\n"), (False, "#ifdef A\n<<<<<<< a\n#endif\nint x;\n"), (False, "#ifdef A\nint y;\n#else\n<<<<<<< a\n#endif\nint x;\n"),
+        (False, "crate {\n  int size;\n};\n"), (False, "t crate {\n  int size;\n};\n"), (True, "f(a) int a; { return a; }\nint (*g(void))(int) { return 0; }\n"),
+    ],
+)
+def test_every_branch_of_c_is_parsed(good, text):
+    assert (first_error("c", text) is None) == good
+
+
+MARKUP = [
+    (True, "const a = <div/>;\nconst b = <A.B c='d' e={f} {...g} data-h>text {i} {/* none */} <b>{j.map(k => <li key={k}>{k}</li>)}</b></A.B>;\n"),
+    (True, "function F() {\n  return (\n    <>\n      {x ? <p>it's</p> : null}\n      <input value={`a${<i/>}`} />\n    </>\n  );\n}\n"),
+    (True, "const less = a < b && c > d;\nconst t = x => <b>{x}</b>;\n"),
+    (False, "const a = <div>;\n"), (False, "const a = <div></p>;\n"), (False, "const a = <div b=c/>;\n"), (False, "const a = <div>{x +}</div>;\n"), (False, "const a = <div>}</div>;\n"), (False, "const a = <b><i></b></i>;\n"),
+]
+
+
+@pytest.mark.parametrize("good, text", MARKUP)
+def test_markup_in_scripts(good, text):
+    assert (first_error("jsx", text) is None) == good and (first_error("tsx", text) is None) == good
+
+
+def test_generics_are_no_markup():
+    assert first_error("tsx", "const f = <T extends object>(x: T): T => x;\nconst g = <T,>(x: T) => <b>{x}</b>;\n") is None
+    assert first_error("javascript", "const a = <div/>;\n") is not None
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript"])
+def test_a_return_needs_a_function(language):
+    for text in ("return 1;\n", "{\n  let x = 1;\n  return x;\n}\n", "if (a) {\n  for (const v of w) {\n    return v;\n  }\n}\n"):
+        assert first_error(language, text) is not None
+    for text in ("function f() {\n  if (a) { return 1; }\n  { return 2; }\n}\n", "const f = () => { return 1; };\n", "const o = { return: 1, m() { return 2; } };\no.return;\n", "class A { get x() { try { return 1; } finally { } } }\n"):
+        assert first_error(language, text) is None
+
+
+def test_remembered_stacks_change_nothing(monkeypatch):
+    from codeloom.llm.syntax import lr
+
+    texts = ["x = [1, 2]\nif x:\n    y(a, b=2)\n", "x = [1, 2\n", "def f(:\n    pass\n"]
+    want = [first_error("python", t) for t in texts]
+    assert [first_error("python", t) for t in texts] == want
+    monkeypatch.setattr(lr, "REMEMBERED", 0)
+    assert [first_error("python", t) for t in texts] == want
