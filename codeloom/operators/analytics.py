@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import module_prefix, severity_score
+from codeloom.util import first_of_each
 
 GOD_FILE, GOD_CLASS, LONG_METHOD, DEEP = 30, 20, 80, 5
 
@@ -133,9 +134,9 @@ def infrastructure(nodes: DataFrame) -> dict[str, DataFrame]:
         "scheduled_jobs": m.where("coalesce(is_scheduled, false)").select("fq_name"),
         "config_keys": nodes.where("label = 'ConfigKey'").select("fq_name", "value"),
         "env_vars": nodes.where("label = 'EnvVar'").select("fq_name", "value"),
-        "container_images": nodes.where("label = 'ContainerImage'").select("fq_name"),
-        "container_ports": nodes.where("label = 'ContainerPort'").select("fq_name"),
-        "terraform_resources": nodes.where("label = 'Resource'").select("fq_name"),
+        "container_images": nodes.where("label = 'ContainerImage'").select("fq_name", "repository", "tag"),
+        "container_ports": nodes.where("label = 'ContainerPort'").select("port", "protocol"),
+        "terraform_resources": nodes.where("label = 'Resource'").select("fq_name", "resource_type", "provider"),
     }
 
 
@@ -147,7 +148,7 @@ def changelog(nodes: DataFrame, since, most: int = 50) -> DataFrame:
     """The newest nodes of each label, and how many there are: ``label, fq_name, last_ingested_at, total``."""
     hits = nodes.where(F.col("last_ingested_at") > since).select("label", "fq_name", "last_ingested_at")
     totals = hits.groupBy("label").agg(F.count(F.lit(1)).alias("total"))
-    newest = hits.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(F.col("last_ingested_at").desc(), "fq_name"))).where(F.col("n") <= most)
+    newest = first_of_each(hits, ["label"], [F.col("last_ingested_at").desc(), F.col("fq_name")], most)
     return newest.join(totals, "label").select("label", "fq_name", "last_ingested_at", "total")
 
 
@@ -222,10 +223,19 @@ def pr_impact(nodes: DataFrame, edges: DataFrame, files: DataFrame, depth: int =
     return out.select("file", "symbols_touched", F.coalesce("incoming_callers", F.lit(0)).alias("incoming_callers"), F.coalesce("downstream_reach", F.lit(0)).alias("downstream_reach"))
 
 
-def service_links(nodes: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+# Names in a target that tell a call to another service.
+HTTP_CLIENTS = "RestTemplate WebClient HttpClient FeignClient OkHttpClient".split()
+MESSAGE_CLIENTS = "KafkaTemplate RabbitTemplate JmsTemplate StreamBridge SqsTemplate SnsTemplate".split()
+
+
+def service_links(nodes: DataFrame, edges: DataFrame, limit: int = 50) -> dict[str, DataFrame]:
+    """What a project calls, consumes, offers and stores; ``outgoing_requests`` are those of scripts."""
+    h = nodes.where("label = 'HttpCall'").select(F.col("id").alias("dst"), F.col("http_method").alias("method"), F.col("http_path").alias("target"), F.col("framework").alias("client"))
+    requests = edges.where("edge_type = 'CALLS_HTTP'").join(_label(nodes, "File", src="id", caller="path"), "src").join(h, "dst").select("caller", "method", "target", "client")
     return {
-        "outgoing_http": outgoing(nodes, edges, r"(?i)(RestTemplate|WebClient|HttpClient|FeignClient|OkHttp)"),
-        "outgoing_messaging": outgoing(nodes, edges, r"(?i)(KafkaTemplate|RabbitTemplate|JmsTemplate|StreamBridge)"),
+        "outgoing_http": outgoing(nodes, edges, f"(?i)({'|'.join(HTTP_CLIENTS)})", limit),
+        "outgoing_requests": requests,
+        "outgoing_messaging": outgoing(nodes, edges, f"(?i)({'|'.join(MESSAGE_CLIENTS)})", limit),
         "incoming_consumers": infrastructure(nodes)["queue_listeners"].withColumnRenamed("fq_name", "handler"),
         "rest_endpoints": rest_endpoints(nodes, edges),
         "tables_touched": tables_touched(nodes, edges),

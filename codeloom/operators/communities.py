@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.util import drop_written, skewed_lookup, written
+from codeloom.util import drop_written, first_of_each, lookup, written
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -18,29 +18,45 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """``node, component``: the smallest id of each connected component (hash-min with pointer jumping).
+    """``node, component``: the smallest id of each connected component (least neighbours, with contraction).
 
-    A round takes the least label among the neighbours, then the label of that label, which halves long
-    chains; it ends when no label changes.  Hot labels are looked up by a broadcast of their few rows.
+    A round points every node to the least of itself and its neighbours, and that one's pointer; then the nodes of
+    one pointer become one, edges within them go, equal ones are folded.  At least half of the nodes vanish with
+    each round, so that the rounds together cost about as much as the first.  The pointers of all rounds, put
+    together from the last to the first, name the components.  Hot nodes meet their pointers by a broadcast.
     """
-    both = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")).unionAll(pairs.select(F.col("dst").alias("u"), F.col("src").alias("v"))).where("u <> v").distinct()
-    both, _ = written(both, "undirected")
-    ids = pairs.select(F.col("src").alias("node")).unionAll(pairs.select(F.col("dst").alias("node")))
+    spark = pairs.sparkSession
+    both = pairs.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"))
+    edges, edges_at = written(both.where("u <> v").distinct(), "undirected")
+    ids = pairs.select(F.inline(F.array(F.struct(F.col("src").alias("node")), F.struct(F.col("dst").alias("node")))))
     if nodes is not None:
         ids = ids.unionAll(nodes.select("node"))
-    labels, _ = written(ids.distinct().select("node", F.col("node").alias("label")), "labels")
-    total = labels.count()
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("best"))
-        step = labels.join(near, "node", "left").select("node", F.least("label", F.coalesce("best", "label")).alias("label"), F.col("label").alias("old"))
-        step, _ = written(step, "hop")
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = skewed_lookup(step, jump, ["label"], max(1, total)).select("node", F.least("label", "further").alias("label"), "old")
-        new, _ = written(new, "labels")
-        moved = not new.where("label <> old").isEmpty()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels.select("node", F.col("label").alias("component"))
+    ids, _ = written(ids.where("node is not null").distinct(), "ids")
+    rounds: list[tuple[DataFrame, str]] = []
+    while not edges.isEmpty():
+        # u is the smaller end: the least neighbour of v is among its u, that of u is u itself or among its own
+        least = edges.select(F.inline(F.array(F.struct(F.col("v").alias("node"), F.col("u").alias("low")), F.struct(F.col("u").alias("node"), F.col("u").alias("low"))))).groupBy("node").agg(F.min("low").alias("low"))
+        near, near_at = written(least, "near")
+        to, to_at = written(lookup(near, near.select(F.col("node").alias("low"), F.col("low").alias("rep")), ["low"], written_already=True).select("node", "rep"), "pointers")
+        rounds.append((to, to_at))
+        ends = lookup(edges, to.select(F.col("node").alias("u"), F.col("rep").alias("a")), ["u"], written_already=True)
+        ends = lookup(ends, to.select(F.col("node").alias("v"), F.col("rep").alias("b")), ["v"], written_already=True)
+        fewer = ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u <> v").distinct()
+        new, new_at = written(fewer, "undirected")
+        drop_written(spark, edges_at, near_at)
+        edges, edges_at = new, new_at
+    drop_written(spark, edges_at)
+    whole = None
+    for to, at in reversed(rounds):
+        if whole is not None:
+            there = lookup(to, whole.select(F.col("node").alias("rep"), F.col("component").alias("further")), ["rep"], how="left", written_already=True)
+            to = there.select("node", F.coalesce("further", "rep").alias("rep"))
+        new, new_at = written(to.select("node", F.col("rep").alias("component")), "components")
+        drop_written(spark, at, *([whole_at] if whole is not None else []))
+        whole, whole_at = new, new_at
+    if whole is None:
+        return ids.select("node", F.col("node").alias("component"))
+    return ids.join(whole, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def modularity(adj: DataFrame, member: DataFrame, node: str = "node", community: str = "community") -> DataFrame:
@@ -52,59 +68,97 @@ def modularity(adj: DataFrame, member: DataFrame, node: str = "node", community:
     return per.agg(F.round(F.sum(F.col("inside") / total - (F.col("deg") / total) * (F.col("deg") / total)), 6).alias("modularity"))
 
 
-def louvain(edges: DataFrame, passes: int = 50) -> DataFrame:
-    """``node, community`` by single-level local moving, in parallel.
+def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarser: bool = True) -> DataFrame:
+    """``node, community`` by local moving in parallel, level by level.
 
     A pass has two halves: the nodes of one parity (of a hash that changes with the pass), then those of the
     other, move to the neighbouring community of the largest positive gain (k_in,C - k_in,old)/m
     - k_i (S_C - (S_old - k_i)) / (2 m^2), ties to the smaller id; moving half of the nodes at a time keeps
-    neighbours from swapping for ever.  It ends with the first pass that moves no node, after ``passes`` at the
-    latest; a warning then says how many nodes the last pass still moved.
+    neighbours from swapping for ever.  A level ends with a pass that moves no node or raises modularity by less than
+    ``least_gain``, after ``passes`` at the latest (a warning then says how many nodes the last pass still moved).
+    With ``coarser`` the communities become the nodes of a next level, with a tenth of the gain to be reached, until
+    a level moves none; without, and with a ``least_gain`` of 0, one level runs until no node can gain by moving.
     """
+    spark = edges.sparkSession
     named, named_at = written(adjacency(edges), "adjacency")
     degree = named.groupBy("u").agg(F.sum("w").alias("k"))
-    two_m = named.agg(F.sum("w")).first()[0]
+    two_m = named.agg(F.sum("w")).first()[0]  # one number
     # numbers in the order of the ids: the loop shuffles these instead of names
-    ids, _ = written(ranked(degree, [F.col("u")]).select(F.col("u").alias("name"), F.col("rank").alias("node"), "k"), "numbers")
+    ids, _ = written(ranked(degree, [F.col("u")]).select(F.col("u").alias("name"), F.col("rank").cast("bigint").alias("node")), "numbers")
     if not two_m:
         return ids.select(F.col("name").alias("node"), F.col("name").alias("community"))
     adj = named.join(ids.select(F.col("name").alias("u"), F.col("node").alias("_u")), "u").join(ids.select(F.col("name").alias("v"), F.col("node").alias("_v")), "v")
     adj, adj_at = written(adj.select(F.col("_u").alias("u"), F.col("_v").alias("v"), "w"), "adjacency")
-    drop_written(edges.sparkSession, named_at)
-    member, at = written(ids.select("node", F.col("node").alias("community"), "k"), "member")
-    m = two_m / 2
+    drop_written(spark, named_at)
+    whole, whole_at = written(ids.select("node", F.col("node").alias("community")), "whole")
+    while True:
+        member, member_at, moved = _moved_level(adj, two_m, passes, least_gain)
+        if not moved:
+            drop_written(spark, member_at)
+            break
+        # a community takes the number of its first node
+        first = member.groupBy("community").agg(F.min("node").alias("first"))
+        to, to_at = written(lookup(member, first, ["community"], "first").select("node", F.col("first").alias("to")), "to")
+        new, new_at = written(lookup(whole.withColumnRenamed("community", "old"), to.withColumnRenamed("node", "old"), ["old"], written_already=True).select("node", F.col("to").alias("community")), "whole")
+        drop_written(spark, whole_at, member_at)
+        whole, whole_at = new, new_at
+        if not coarser:
+            break
+        ends = lookup(adj, to.select(F.col("node").alias("u"), F.col("to").alias("a")), ["u"], written_already=True)
+        ends = lookup(ends, to.select(F.col("node").alias("v"), F.col("to").alias("b")), ["v"], written_already=True)
+        next_adj, next_at = written(ends.groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")), "adjacency")
+        drop_written(spark, adj_at, to_at)
+        adj, adj_at, least_gain = next_adj, next_at, least_gain / 10
+    drop_written(spark, adj_at)
+    names = ids.select(F.col("node").alias("community"), F.col("name").alias("_to"))
+    return lookup(whole.join(ids, "node"), names, ["community"], "names").select(F.col("name").alias("node"), F.col("_to").alias("community"))
+
+
+def _moved_level(adj: DataFrame, two_m: float, passes: int, least_gain: float) -> tuple[DataFrame, str, int]:
+    """``node, community, k`` after the passes of one level, where it lies, and how many moves there were.
+
+    Edges from a node to itself (of coarser levels) count in its degree and move with it.
+    """
+    spark, m, moves_of_all = adj.sparkSession, two_m / 2, 0
+    across = adj.where("u <> v")
+    member, at = written(adj.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"), F.sum(F.when(F.col("u") == F.col("v"), F.col("w")).otherwise(0.0)).alias("own")).select("node", F.col("node").alias("community"), "k", "own"), "member")
+    before = None
     for turn in range(passes):
-        moved = 0
+        moved, inside, squares = 0, 0.0, 0.0
         for half in (0, 1):
-            totals = member.groupBy("community").agg(F.sum("k").alias("s"))
-            state = member.join(totals, "community")
-            mine = adj.where(F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == half)
-            toward = mine.join(state.select(F.col("node").alias("v"), "community", "s"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("k_in"), F.min("s").alias("s"))
-            own = state.select("node", F.col("community").alias("old"), "k", F.col("s").alias("s_old"))
+            totals, totals_at = written(member.groupBy("community").agg(F.sum("k").alias("s")), "totals")
+            state = lookup(member, totals, ["community"], written_already=True)
+            squares = totals.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+            parity = lambda node, turn=turn, half=half: F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(2)) == half
+            toward = across.where(parity("u")).join(state.select(F.col("node").alias("v"), "community", "s"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("k_in"), F.min("s").alias("s"))
+            mine = state.where(parity("node")).select("node", F.col("community").alias("old"), "k", F.col("s").alias("s_old"))
             # the gain without the part that is the same for all communities
             score = F.col("k_in") / m - F.col("k") * F.col("s") / (2 * m * m)
-            best = own.join(toward, "node").groupBy("node", "old", "k", "s_old").agg(
+            best = mine.join(toward, "node").groupBy("node", "old", "k", "s_old").agg(
                 F.min(F.when(F.col("community") != F.col("old"), F.struct((-score).alias("g"), "community"))).alias("b"),
                 F.max(F.when(F.col("community") == F.col("old"), F.col("k_in")).otherwise(0.0)).alias("k_old"),
             )
             gain = -F.col("b.g") - F.col("k_old") / m + F.col("k") * (F.col("s_old") - F.col("k")) / (2 * m * m)
-            moves = best.where(gain > 1e-12).select("node", F.col("b.community").alias("to"))
-            new, new_at = written(member.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", F.col("to").isNotNull().alias("moved")), "member")
-            moved += new.where("moved").count()
-            drop_written(edges.sparkSession, at)
-            member, at = new.select("node", "community", "k"), new_at
-        if not moved:
+            moves = best.select("node", F.when(gain > 1e-12, F.col("b.community")).alias("to"), "k_old")
+            new, new_at = written(member.join(moves, "node", "left").select("node", F.coalesce("to", "community").alias("community"), "k", "own", F.col("to").isNotNull().alias("moved"), F.when(parity("node"), F.coalesce("k_old", F.lit(0.0)) + F.col("own")).otherwise(0.0).alias("inside")), "member")
+            said = new.agg(F.count_if("moved").alias("moved"), F.sum("inside").alias("inside")).first()  # two numbers
+            moved, inside = moved + said["moved"], inside + said["inside"]
+            drop_written(spark, at, totals_at)
+            member, at = new.select("node", "community", "k", "own"), new_at
+        moves_of_all += moved
+        # modularity as the pass met it, each half before its moves
+        now = inside / two_m - squares / (two_m * two_m)
+        if not moved or before is not None and least_gain and now - before < least_gain:
             break
+        before = now
     else:
-        warnings.warn(f"louvain: pass {passes}, the last allowed, still moved {moved} nodes", stacklevel=2)
-    drop_written(edges.sparkSession, adj_at)
-    names = ids.select(F.col("node").alias("community"), F.col("name").alias("_to"))
-    return member.join(ids.select("node", "name"), "node").join(names, "community").select(F.col("name").alias("node"), F.col("_to").alias("community"))
+        warnings.warn(f"louvain: pass {passes}, the last allowed, still moved {moved} nodes", stacklevel=3)
+    return member, at, moves_of_all
 
 
-def leiden(edges: DataFrame, passes: int = 50) -> DataFrame:
+def leiden(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarser: bool = True) -> DataFrame:
     """Louvain's communities, split into connected parts: ``node, community``."""
-    member, _ = written(louvain(edges, passes), "louvain")
+    member, _ = written(louvain(edges, passes, least_gain, coarser), "louvain")
     inner = _inside(edges.where("src <> dst").select("src", "dst"), member).select("src", "dst")
     return components(inner, member.select("node")).withColumnRenamed("component", "community")
 
@@ -119,7 +173,7 @@ def described(edges: DataFrame, member: DataFrame, least: int = 2, samples: int
     sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     inner = _inside(pairs, member).groupBy(F.col("c1").alias("community")).agg(F.count(F.lit(1)).alias("internal_edges"))
-    some = member.withColumn("n", F.row_number().over(Window.partitionBy("community").orderBy("node"))).where(F.col("n") <= samples).groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    some = first_of_each(member.select("community", "node"), ["community"], [F.col("node")], samples).groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("members"))
     out = sizes.where(F.col("size") >= least).join(inner, "community", "left").join(some, "community").fillna(0, ["internal_edges"])
     out = out.withColumn("cohesion", F.round(F.col("internal_edges") / (F.col("size") * (F.col("size") - 1) / 2), 6))
     # ranks over communities, by a range-partitioned sort

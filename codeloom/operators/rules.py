@@ -36,21 +36,23 @@ class Config:
     disabled: set[str] = field(default_factory=set)
     exclude: list[str] = field(default_factory=list)
     custom: list[Custom] = field(default_factory=list)
+    #: Most rows of a rule that are reported, after exclusions; none or no entry: all.
+    most: dict[str, int | None] = field(default_factory=dict)
 
     def over(self, base: Config) -> Config:
         """Thresholds overwrite, disabled rules and exclusions add up, custom rules replace those of their name."""
         mine = {c.name for c in self.custom}
-        return Config(base.thresholds | self.thresholds, base.disabled | self.disabled, [*dict.fromkeys([*base.exclude, *self.exclude])], [c for c in base.custom if c.name not in mine] + self.custom)
+        return Config(base.thresholds | self.thresholds, base.disabled | self.disabled, [*dict.fromkeys([*base.exclude, *self.exclude])], [c for c in base.custom if c.name not in mine] + self.custom, base.most | self.most)
 
     @staticmethod
     def of(raw: dict | None) -> Config:
         """From parsed YAML."""
         raw = raw or {}
         custom = [Custom(c.get("name", ""), c.get("query", ""), str(c.get("severity") or "WARN").upper(), c.get("enabled", True)) for c in raw.get("custom") or []]
-        return Config({k: int(v) for k, v in (raw.get("thresholds") or {}).items()}, set(raw.get("disabled") or []), list(raw.get("exclude") or []), custom)
+        return Config({k: int(v) for k, v in (raw.get("thresholds") or {}).items()}, set(raw.get("disabled") or []), list(raw.get("exclude") or []), custom, dict(raw.get("most") or {}))
 
 
-DEFAULTS = Config({"god-file": analytics.GOD_FILE, "god-class": analytics.GOD_CLASS, "long-method": analytics.LONG_METHOD, "deep-inheritance": analytics.DEEP})
+DEFAULTS = Config({"god-file": analytics.GOD_FILE, "god-class": analytics.GOD_CLASS, "long-method": analytics.LONG_METHOD, "deep-inheritance": analytics.DEEP}, most={"dead-code": 500})
 
 
 def resolved(*layers: Config) -> Config:
@@ -72,7 +74,7 @@ BUILT_IN: dict[str, tuple[str, bool, Callable]] = {
     "god-class": ("ERROR", True, lambda n, e, t: _rows(analytics.god_classes(n, e, t), "fq_name", F.concat(F.col("methods").cast("string"), F.lit(f" methods, limit {t}")))),
     "long-method": ("WARN", True, lambda n, e, t: _rows(analytics.long_methods(n, t), "fq_name", F.concat(F.col("lines").cast("string"), F.lit(f" lines, limit {t}")), "start_line")),
     "deep-inheritance": ("WARN", False, lambda n, e, t: _rows(_deep(n, e, t), "fq_name", F.concat(F.col("depth").cast("string"), F.lit(f" levels, limit {t}")))),
-    "dead-code": ("WARN", True, lambda n, e, t: _rows(analytics.dead_code(n, e, spare_handlers=True).orderBy("fq_name").limit(500), "fq_name", F.lit("nothing calls it"), "start_line")),
+    "dead-code": ("WARN", True, lambda n, e, t: _rows(analytics.dead_code(n, e, spare_handlers=True), "fq_name", F.lit("nothing calls it"), "start_line")),
 }
 
 
@@ -85,6 +87,8 @@ def violations(nodes: DataFrame, edges: DataFrame, config: Config = DEFAULTS, pl
             rows = run(nodes, edges, config.thresholds.get(name))
             if by_path and config.exclude:
                 rows = rows.join(paths, "file_id", "left").where(~excluded(F.col("path"), config.exclude)).drop("path")
+            if config.most.get(name):
+                rows = rows.orderBy("subject").limit(config.most[name])
             parts.append(rows.select(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), "subject", "message", "file_id", "line"))
     for rule in config.custom:
         if rule.enabled and rule.name.strip() and rule.query.strip() and rule.name not in config.disabled:

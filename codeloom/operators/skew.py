@@ -1,8 +1,8 @@
 """Per-key figures when a few keys hold most rows.
 
 Method: every input split dictionary-encodes its keys, runs a numpy ``bincount`` over the codes and
-hands on one dense array block per key range (hash block); the blocks are then summed by a distributed
-reduction.  A key reaches the reduction at most once per split and measure, however many rows it has,
+hands on one dense array block per key range (hash block); the blocks are then sorted by key within their range
+and summed by a distributed reduction that holds one key at a time.  A key reaches the reduction at most once per split and measure, however many rows it has,
 so no task ever sees the rows of a hot key together.  Rows are never shuffled by the skewed key.
 
 Defined cases: a null key belongs to no group; a null weight counts as 0 in sums; an empty table gives
@@ -99,22 +99,36 @@ def _whole(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(batch.schema.get_field_index(name)).cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
 
-def _sum_blocks(fields: list[str], measures: list[str]):
-    """mapInArrow body: scatter-reduce the blocks of this partition's key range into dense arrays."""
+def _sum_blocks(measures: list[str]):
+    """mapInArrow body: the sorted blocks of a key range, summed key by key as they pass; one key is held at a time."""
+
+    def block(fields: list[str], ids: list[str], sums: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"key_field": pa.array(fields, pa.string()), "node_id": pa.array(ids, pa.string())} | {m: pa.array(x) for m, x in zip(measures, sums)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = {f: _Dense(len(measures)) for f in fields}
+        held: tuple[str, str] | None = None
+        sums = [0] * len(measures)
         for b in batches:
-            names = b.column(0)
-            for f in fields:
-                part = b.filter(pa.compute.equal(names, f))
-                if part.num_rows:
-                    dense[f].add(part.column(1), [_whole(part, m) for m in measures])
-        for f in fields:
-            if dense[f].codes:
-                keys, sums = dense[f].take()
-                for i in range(0, len(keys), 65536):
-                    yield pa.RecordBatch.from_pydict({"key_field": pa.array([f] * len(keys[i : i + 65536]), pa.string()), "node_id": pa.array(keys[i : i + 65536], pa.string())} | {m: pa.array(s[i : i + 65536]) for m, s in zip(measures, sums)})
+            if not b.num_rows:
+                continue
+            fields, ids = b.column(0), b.column(1)
+            new = np.ones(b.num_rows, bool)
+            if b.num_rows > 1:
+                differs = pa.compute.or_(pa.compute.not_equal(fields[1:], fields[:-1]), pa.compute.not_equal(ids[1:], ids[:-1]))
+                new[1:] = differs.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            fields, ids = fields.take(pa.array(starts)).to_pylist(), ids.take(pa.array(starts)).to_pylist()
+            parts = [np.add.reduceat(_whole(b, m), starts) for m in measures]
+            if held == (fields[0], ids[0]):
+                for x, s in zip(parts, sums):
+                    x[0] += s
+            elif held:
+                yield block([held[0]], [held[1]], [np.array([s], np.int64) for s in sums])
+            if len(ids) > 1:
+                yield block(fields[:-1], ids[:-1], [x[:-1] for x in parts])
+            held, sums = (fields[-1], ids[-1]), [int(x[-1]) for x in parts]
+        if held:
+            yield block([held[0]], [held[1]], [np.array([s], np.int64) for s in sums])
 
     return run
 
@@ -129,8 +143,8 @@ def dense_key_sums(df: DataFrame, keys: list[str], measures: dict[str, str | Non
     cols = list(dict.fromkeys([*keys, *weights]))
     partial = df.select(*cols).mapInArrow(_split_blocks(keys, measures), schema)
     # the reduction's width follows the session's; each partition owns a hash range of the key dictionary
-    ranged = partial.repartition(parallelism(df.sparkSession), "key_field", "node_id")
-    return ranged.mapInArrow(_sum_blocks(keys, list(measures)), schema)
+    ranged = partial.repartition(parallelism(df.sparkSession), "key_field", "node_id").sortWithinPartitions("key_field", "node_id")
+    return ranged.mapInArrow(_sum_blocks(list(measures)), schema)
 
 
 def heavy_keys(edges: DataFrame, keys: list[str], one_in: int = 100) -> DataFrame:
@@ -146,13 +160,15 @@ def key_figures(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Pairs are folded first, by the hash of the whole pair (even, whatever the skew); what is left per pair
     is one row with its count, so that bincount gives distinct partners and edges in one pass.  An edge
     with a null partner counts as an edge but not as a partner.  callees: sum of callee_count over the rows
-    of the node as they stand, null where no row states one.
+    of the node as they stand, null where no row states one.  A node that states callees but has no edge has
+    a row as source, with no edges and partners.
     """
     pairs = edges.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).withColumn("met", F.when(F.col("source").isNotNull() & F.col("target").isNotNull(), 1).otherwise(0))
     per_key = dense_key_sums(pairs, ["source", "target"], {"edges": "n", "partners": "met"})
     stated = nodes.where(F.col("callee_count").isNotNull()).select("id", "callee_count")
     callees = dense_key_sums(stated, ["id"], {"callees": "callee_count"}).select("node_id", "callees")
-    return per_key.join(callees, "node_id", "left").select("key_field", "node_id", "edges", "partners", "callees")
+    none = F.lit(0).cast("bigint")
+    return per_key.join(callees, "node_id", "full").select(F.coalesce("key_field", F.lit("source")).alias("key_field"), "node_id", F.coalesce("edges", none).alias("edges"), F.coalesce("partners", none).alias("partners"), "callees")
 
 
 def heaviest_callers(nodes: DataFrame, one_in: int = 1000) -> DataFrame:

@@ -6,9 +6,13 @@ Every level is deduplicated before the next join, so that dense graphs do not en
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators.hierarchy import hierarchy
 from codeloom.util import drop_written, written
 
 
@@ -21,16 +25,17 @@ def clamp(depth: int, most: int) -> int:
     return max(1, min(depth, most))
 
 
-def levels(pairs: DataFrame, seeds: DataFrame, depth: int) -> list[DataFrame]:
+def levels(pairs: DataFrame, seeds: DataFrame, depth: int | None) -> list[DataFrame]:
     """Breadth-first levels ``source, node, pred``: nodes first reached by 1, 2, ... edges from each source.
 
     ``seeds`` has a column ``source``, and ``node`` if the search of a source starts from other nodes than itself,
     from several at once; ``pred`` is the smallest node of the level before with an edge to it.
-    ``pairs`` is read once a level: it should be a scan of a stored graph.
+    ``pairs`` is read once a level: it should be a scan of a stored graph.  Without a ``depth`` the search goes on
+    until nothing new is found, however deep that is.
     """
     found: list[DataFrame] = []
     frontier = seeds.select("source", F.col("node" if "node" in seeds.columns else "source").alias("node")).distinct()
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         step = frontier.join(pairs, frontier["node"] == pairs["src"]).groupBy("source", F.col("dst").alias("next")).agg(F.min("node").alias("pred"))
         step = step.select("source", F.col("next").alias("node"), "pred")
         for seen in found:
@@ -44,8 +49,8 @@ def levels(pairs: DataFrame, seeds: DataFrame, depth: int) -> list[DataFrame]:
     return found
 
 
-def reached(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """``source, node, depth``: every node reached and the least number of edges to it."""
+def reached(pairs: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
+    """``source, node, depth``: every node reached (at any depth without one) and the least number of edges to it."""
     out = None
     for d, level in enumerate(levels(pairs, seeds, depth), 1):
         part = level.select("source", "node", F.lit(d).alias("depth"))
@@ -131,28 +136,33 @@ def ego_slice(nodes: DataFrame, edges: DataFrame, node_id: str, depth: int = 2,
     return shown, inner.select(F.concat_ws("|", "src", "edge_type", "dst").alias("id"), "src", "dst", "edge_type").distinct()
 
 
-def longest_chain(edges: DataFrame, edge_type: str = "EXTENDS", most: int = 16) -> DataFrame:
-    """``node, depth``: the longest path of the type upwards from each node, at most ``most``; nodes on circles are left out.
+def longest_chain(edges: DataFrame, edge_type: str = "EXTENDS") -> DataFrame:
+    """``node, depth``: the longest path of the type upwards from each node; nodes on circles or below them have none.
 
-    A node's depth is the last level at which some walk from it is still going.
+    Where every node has one parent at most, pointer doubling gives the depths in about log2(depth) rounds; else
+    a node's depth is one more than the greatest of its parents' as soon as all of these are known, a round a level.
     """
-    pairs, _ = written(links(edges, edge_type).distinct(), "chain")
-    out, frontier = None, pairs.select(F.col("src").alias("source"), F.col("dst").alias("node"))
-    circles = None
-    for d in range(1, most + 1):
-        frontier, _ = written(frontier.distinct(), "walks")
-        if frontier.isEmpty():
+    pairs, pairs_at = written(links(edges, edge_type).distinct(), "chain")
+    if pairs.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        tree = hierarchy(pairs.select(F.lit(edge_type).alias("type"), F.col("src").alias("node_id"), F.col("dst").alias("parent_id")), with_path=False)
+        drop_written(pairs.sparkSession, pairs_at)
+        return tree.where("depth > 0").select(F.col("node_id").alias("node"), "depth")
+    tops = pairs.select(F.col("dst").alias("node")).distinct().join(pairs.select(F.col("src").alias("node")), "node", "left_anti")
+    last = known = tops.select("node", F.lit(0).alias("depth"))
+    found = []
+    while True:
+        below = pairs.join(last.select(F.col("node").alias("dst")), "dst", "left_semi").select("src").distinct()
+        parents = pairs.join(below, "src", "left_semi").join(known.select(F.col("node").alias("dst"), "depth"), "dst", "left")
+        full = parents.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.count("depth").alias("k"), F.max("depth").alias("d")).where("n = k")
+        last, at = written(full.select("node", (F.col("d") + 1).alias("depth")), "depths")
+        if last.isEmpty():
+            drop_written(pairs.sparkSession, at, pairs_at)
             break
-        part = frontier.select("source").distinct().select(F.col("source").alias("node"), F.lit(d).alias("depth"))
-        out = part if out is None else out.unionByName(part)
-        on = frontier.where("source = node").select("source")
-        circles = on if circles is None else circles.unionByName(on)
-        frontier = frontier.where("source <> node").join(pairs, F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"))
-    if out is None:
-        return pairs.select(F.col("src").alias("node"), F.lit(0).alias("depth")).where("false")
-    return out.groupBy("node").agg(F.max("depth").alias("depth")).join(circles.select(F.col("source").alias("node")).distinct(), "node", "left_anti")
+        found.append(last)
+        known = known.unionByName(last)
+    return reduce(DataFrame.unionByName, found) if found else pairs.select(F.col("src").alias("node"), F.lit(0).alias("depth")).where("false")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, edge_type: str = "CONTAINS", most: int = 16) -> DataFrame:
-    """``source, node, depth`` of everything contained in the seeds."""
-    return reached(links(edges, edge_type), seeds, most)
+def closure(edges: DataFrame, seeds: DataFrame, edge_type: str = "CONTAINS", depth: int | None = None) -> DataFrame:
+    """``source, node, depth`` of everything contained in the seeds, however deep."""
+    return reached(links(edges, edge_type), seeds, depth)

@@ -22,8 +22,8 @@ from codeloom.operators import traverse
 _TOKEN = re.compile(r"\s+|//[^\n]*|(?P<str>'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\")|(?P<num>\d+\.\d+|\d+)|(?P<param>\$\w+)|(?P<id>[A-Za-z_]\w*|`[^`]+`)|(?P<op><>|<=|>=|=~|\.\.|->|<-|[-+*/%=<>()\[\]{},.:|])")
 _WRITES = {"CREATE", "MERGE", "SET", "DELETE", "DETACH", "REMOVE", "DROP", "COPY", "ALTER", "LOAD", "BEGIN", "COMMIT", "ROLLBACK"}
 _AGGREGATES = {"count", "collect", "min", "max", "sum", "avg"}
-#: Longest search where the text gives no bound.
-UNBOUNDED = 16
+#: Where the text gives no bound, a search goes on until it finds nothing new.
+UNBOUNDED = None
 
 
 class CypherError(ValueError):
@@ -43,7 +43,7 @@ class Rel:
     types: list[str]
     direction: str  # out, in, both
     low: int = 1
-    high: int = 1
+    high: int | None = 1
     many: bool = False
 
 
@@ -396,7 +396,7 @@ class Compiler:
         frame: DataFrame | None = None
         for c in clauses:
             if c.kind == "match":
-                frame = self.where(self.bind(c.patterns, frame), c.where)
+                frame = self.where(self.bind(c.patterns, frame, c.where), c.where)
             elif c.kind == "optional":
                 frame = self.optional(c, frame)
             elif c.kind == "unwind":
@@ -418,9 +418,11 @@ class Compiler:
             df = df.where(F.col(f"{n.var}__{p}") == self.value(e))
         return df
 
-    def bind(self, patterns: list[Pattern], frame: DataFrame | None) -> DataFrame:
+    def bind(self, patterns: list[Pattern], frame: DataFrame | None, where: Any = None) -> DataFrame:
         for p in patterns:
             nodes, rels = p.parts[::2], p.parts[1::2]
+            if frame is not None and nodes[0].var not in self.vars and not self.joined_by({x.var for x in p.parts}, where):
+                raise CypherError(f"({nodes[0].var}) shares no variable with what comes before, and WHERE sets nothing of it equal to that: all pairs are not given")
             frame = self.add_node(nodes[0], frame)
             for a, r, b in zip(nodes, rels, nodes[1:]):
                 frame = self.add_step(a, r, b, frame, p)
@@ -430,6 +432,19 @@ class Compiler:
                     frame = frame.withColumn(f"{p.name}__length", F.lit(len(rels)))
         return frame
 
+    def joined_by(self, own: set[str], where: Any) -> bool:
+        """Whether WHERE sets something of the variables ``own`` equal to something of those bound before."""
+
+        def uses(e: Any) -> set[str]:
+            return {x[1] for x in _walk(e) if len(x) > 1 and x[0] in ("var", "prop")}
+
+        for e in self.conjuncts(where):
+            if e[0] == "cmp" and e[1] == "=":
+                a, b = uses(e[2]), uses(e[3])
+                if a and b and any(x <= own and y <= set(self.vars) for x, y in ((a, b), (b, a))):
+                    return True
+        return False
+
     def add_node(self, n: Node, frame: DataFrame | None) -> DataFrame:
         if n.var in self.vars:
             for p, e in ([("label", ("lit", n.label))] if n.label else []) + list(n.props.items()):
@@ -437,8 +452,9 @@ class Compiler:
             return frame
         self.vars[n.var] = "node"
         df = self.node_frame(n)
-        # patterns without a shared variable come together through WHERE; the optimizer turns equalities into keys
-        return df if frame is None else frame.join(df)
+        if frame is None:
+            return df
+        return frame.join(df)  # WHERE has an equality, which the optimizer makes the join's key
 
     def add_step(self, a: Node, r: Rel, b: Node, frame: DataFrame, p: Pattern) -> DataFrame:
         here, there = f"{a.var}__id", f"{b.var}__id"
@@ -477,7 +493,7 @@ class Compiler:
             raise CypherError("OPTIONAL MATCH needs a bound variable")
         keys = [f"{v}__id" for v in shared]
         own = [x for x in frame.columns if x.split("__")[0] in shared]
-        found = self.where(self.bind(c.patterns, frame.select(*own).distinct()), c.where)
+        found = self.where(self.bind(c.patterns, frame.select(*own).distinct(), c.where), c.where)
         return frame.join(found.select(*keys, *[x for x in found.columns if x not in frame.columns]), keys, "left")
 
     # -------------------------------------------------- filters
@@ -497,7 +513,7 @@ class Compiler:
         shared = sorted({n.var for p in c.patterns for n in p.parts[::2]} & set(self.vars))
         kept, keys = dict(self.vars), [f"{v}__id" for v in shared]
         own = [x for x in frame.columns if x.split("__")[0] in shared]
-        found = self.where(self.bind(c.patterns, frame.select(*own).distinct()), c.where).select(*keys).distinct()
+        found = self.where(self.bind(c.patterns, frame.select(*own).distinct(), c.where), c.where).select(*keys).distinct()
         self.vars = kept
         return frame.join(found, keys, "left_anti" if negated else "left_semi")
 

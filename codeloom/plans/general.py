@@ -124,7 +124,7 @@ ORACLE = {
     "p1_found": " UNION ALL ".join(f"SELECT '{c}' AS key_field, {c} AS node_id FROM slice_edges WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) * 100 >= (SELECT count(*) FROM slice_edges)" for c in ("target", "source")),
     "p1_key_figures": "WITH c AS (SELECT id, sum(callee_count)::BIGINT AS callees FROM slice_nodes WHERE callee_count IS NOT NULL GROUP BY id), k AS ("
     + " UNION ALL ".join(f"SELECT '{c}' AS key_field, {c} AS node_id, count(*) AS edges, count(DISTINCT {o}) AS partners FROM slice_edges WHERE {c} IS NOT NULL GROUP BY {c}" for c, o in (("target", "source"), ("source", "target")))
-    + ") SELECT k.*, c.callees FROM k LEFT JOIN c ON c.id = k.node_id",
+    + ") SELECT coalesce(k.key_field, 'source') AS key_field, coalesce(k.node_id, c.id) AS node_id, coalesce(k.edges, 0) AS edges, coalesce(k.partners, 0) AS partners, c.callees FROM k FULL JOIN (SELECT * FROM c WHERE id IS NOT NULL) c ON c.id = k.node_id",
     "p1_heaviest_callers": "SELECT id AS node_id, sum(callee_count)::BIGINT AS callees, count(*) AS deliveries FROM slice_nodes WHERE callee_count IS NOT NULL AND id IS NOT NULL GROUP BY id HAVING sum(callee_count) * 1000 >= (SELECT sum(callee_count) FROM slice_nodes)",
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_change_counts": _P2 + "SELECT table_name, project_id, snapshot_no, change, count(*) AS n_records FROM found GROUP BY ALL",

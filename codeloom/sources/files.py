@@ -17,7 +17,7 @@ from codeloom.sources.parsers import REGISTRY, parse_file
 from codeloom.util import spread
 
 # Directories that are never scanned.
-IGNORED = """.git .svn .hg .idea .vscode .gradle .mvn .cache .venv venv __pycache__ node_modules target build dist out bin obj coverage .next .nuxt vendor .terraform""".split()
+IGNORED = "target build out dist .next .nuxt .cache .turbo .svelte-kit node_modules vendor bower_components coverage __pycache__ .tox .pytest_cache .gradle .idea .vscode .angular .git".split()
 EVENT = "path string, op string, label string, fq_name string, edge_type string, to_label string, to_fq_name string, props map<string,string>, seq bigint"
 
 

@@ -214,10 +214,18 @@ def braces(sink: Sink, language: str) -> None:
         _express(sink)
 
 
-def _marks(source: str, blanked: str, at: int, most: int = 300) -> str:
-    """What stands before a declaration, back to the end of the one before it: its annotations."""
-    low = max(0, at - most)
-    return source[1 + max(low - 1, *(blanked.rfind(c, low, at) for c in "{};")) : at]
+def _marks(source: str, blanked: str, at: int) -> str:
+    """What stands before a declaration, back to the end of the one before it: its annotations, braces in these included."""
+    depth = 0
+    for i in range(at - 1, -1, -1):
+        c = blanked[i]
+        if c == ")":
+            depth += 1
+        elif c == "(":
+            depth -= depth > 0
+        elif c in "{};" and not depth:
+            return source[i + 1 : at]
+    return source[:at]
 
 
 def _type_of(param: str) -> str:
@@ -239,7 +247,7 @@ def _spring(sink: Sink, before: str, key: Key, top: Key, spans) -> None:
     if not m:
         return
     start = next((s[0] for s in spans if s[2] == top), 0)
-    head = _marks(sink.text, masked(sink.text, "c"), sink.text.rfind("class", 0, start), 600)
+    head = _marks(sink.text, masked(sink.text, "c"), sink.text.rfind("class", 0, start))
     of_class = re.search(r"@RequestMapping\s*\(([^)]*)\)", head)
     verb = m[1].upper() if m[1] != "Request" else (re.search(r"RequestMethod\.(\w+)", m[2] or "") or [None, "GET"])[1]
     path = "/" + "/".join(p.strip("/") for p in (_path(of_class[1]) if of_class else "", _path(m[2])) if p.strip("/"))

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from codeloom.operators.orphans import OrphanState
 from codeloom.sources.files import graph_of, parsed
 from codeloom.sources.store import GraphStore
-from codeloom.util import shared_dir
+from codeloom.util import scope, shared_dir, written
 
 
 def debounced(changes: DataFrame) -> DataFrame:
@@ -24,31 +24,54 @@ def debounced(changes: DataFrame) -> DataFrame:
 class Watcher:
     """Merges micro-batches of file changes (``path, kind, content, seq``) into a store.
 
-    A changed file's subtree is replaced, so that what vanished from it goes as well.  A batch that fails is
-    counted and left for the next start of the query; counters are kept in ``stats``.
+    A changed file's subtree is replaced, so that what vanished from it goes as well.  A batch is one change of the
+    store.  One that fails is tried ``tries`` times, then file by file, so that a file that fails holds no other
+    up: it is counted, named in ``failures`` and left out.  Counters are kept in ``stats``.
     """
 
-    def __init__(self, store: GraphStore, project_id: str, refresh: Callable[[GraphStore], None] | None = None) -> None:
-        self.store, self.project_id, self.refresh = store, project_id, refresh
+    def __init__(self, store: GraphStore, project_id: str, refresh: Callable[[GraphStore], None] | None = None, tries: int = 2) -> None:
+        self.store, self.project_id, self.refresh, self.tries = store, project_id, refresh, tries
         self.stats = {"batches": 0, "changed": 0, "deleted": 0, "failed": 0}
+        self.failures: dict[str, str] = {}
 
     def apply(self, batch: DataFrame, batch_id: int = 0) -> None:
-        batch = batch.persist()
-        try:
-            latest = debounced(batch).persist()
-            newest = batch.join(latest.where("kind <> 'DELETE'").select("path", "seq"), ["path", "seq"], "left_semi").select("path", "content")
-            for row in latest.select("path", "kind").collect():  # paths of one micro-batch
-                self.store.remove_file(self.project_id, row["path"])
+        spark = batch.sparkSession
+        with scope(spark):
+            batch, _ = written(batch, "changes")
+            latest, _ = written(debounced(batch), "latest")
+            newest, _ = written(batch.join(latest.where("kind <> 'DELETE'").select("path", "seq"), ["path", "seq"], "left_semi").select("path", "content"), "newest")
+            try:
+                for left in range(self.tries - 1, -1, -1):
+                    try:
+                        self._replace(latest, newest)
+                        break
+                    except Exception:
+                        if not left:
+                            raise
+                n = {r["gone"]: r["n"] for r in latest.groupBy((F.col("kind") == "DELETE").alias("gone")).agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
+                self.stats["deleted"] += n.get(True, 0)
+                self.stats["changed"] += n.get(False, 0)
+            except Exception:
+                self._one_by_one(latest, newest)
+            finally:
+                self.stats["batches"] += 1
+        if self.refresh:
+            self.refresh(self.store)
+
+    def _replace(self, latest: DataFrame, newest: DataFrame) -> None:
+        graph = [written(x, "graph")[0] for x in graph_of(parsed(newest), self.project_id)]  # what can't be parsed fails before anything is removed
+        self.store.remove_files(self.project_id, latest)
+        self.store.merge(*graph)
+
+    def _one_by_one(self, latest: DataFrame, newest: DataFrame) -> None:
+        for row in latest.select("path", "kind").toLocalIterator():  # the paths of one micro-batch
+            own = F.col("path") == row["path"]
+            try:
+                self._replace(latest.where(own), newest.where(own))
                 self.stats["deleted" if row["kind"] == "DELETE" else "changed"] += 1
-            self.store.merge(*graph_of(parsed(newest), self.project_id))
-            if self.refresh:
-                self.refresh(self.store)
-        except Exception:
-            self.stats["failed"] += 1
-            raise
-        finally:
-            self.stats["batches"] += 1
-            batch.unpersist()
+            except Exception as e:
+                self.stats["failed"] += 1
+                self.failures[row["path"]] = str(e).split("\n")[0]
 
     def start(self, changes: DataFrame, checkpoint: str, millis: int = 250) -> StreamingQuery:
         """Run on a stream; the trigger's interval is the debounce."""

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: str | None = None
@@ -17,39 +21,71 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, from ``spark.checkpoint.dir``; a private one only where that is unset (tests)."""
+    """Folder all executors share, from ``spark.checkpoint.dir``; a private one only where that is unset and all is one process (tests)."""
     global _LOCAL_DIR
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = "file://" + tempfile.mkdtemp(prefix="codeloom-")
+        atexit.register(shutil.rmtree, _LOCAL_DIR.removeprefix("file://"), ignore_errors=True)
     return _LOCAL_DIR
 
 
+#: Tables of :func:`written` that were not deleted yet.
+_KEPT: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame, label: str, *by: str) -> tuple[DataFrame, str]:
     """Cut the lineage: write ``df`` once to the shared folder (in parts ``by`` columns) and read it back (survives lost executors)."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom/{label}-{uuid.uuid4().hex}"
+    _KEPT[path] = spark
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def drop_written(spark: SparkSession, path: str) -> None:
-    """Delete a table of :func:`written` that nothing reads any more."""
-    fs, target = _path(spark, path)
-    fs.delete(target, True)
+def drop_written(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for path in paths:
+        fs, target = hadoop_path(spark, path)
+        fs.delete(target, True)
+        _KEPT.pop(path, None)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what was written within it: for callers that are done with the results by then."""
+    before = set(_KEPT)
+    try:
+        yield
+    finally:
+        drop_written(spark, *(set(_KEPT) - before))
+
+
+def _last_drop() -> None:
+    """At the end of the driver, the tables that lazy results still needed."""
+    for path, spark in list(_KEPT.items()):
+        with contextlib.suppress(Exception):
+            if spark.sparkContext._jsc is not None:
+                drop_written(spark, path)
+
 
+atexit.register(_last_drop)
 
-def _path(spark: SparkSession, path: str):
+
+def hadoop_path(spark: SparkSession, path: str):
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def put_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file, complete whenever it is read: written beside its place and renamed."""
-    fs, target = _path(spark, path)
-    _, beside = _path(spark, f"{path}.{uuid.uuid4().hex}")
+    fs, target = hadoop_path(spark, path)
+    _, beside = hadoop_path(spark, f"{path}.{uuid.uuid4().hex}")
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
@@ -62,7 +98,7 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 def get_text(spark: SparkSession, path: str) -> str | None:
     """A small file's text; None without it."""
-    fs, target = _path(spark, path)
+    fs, target = hadoop_path(spark, path)
     if not fs.exists(target):
         return None
     size = fs.getFileStatus(target).getLen()
@@ -102,7 +138,11 @@ def row_bytes(df: DataFrame) -> Column:
 def measured(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     """``df`` written, and its bytes in memory."""
     kept, _ = written(df, label)
-    return kept, kept.agg(F.coalesce(F.sum(row_bytes(kept).cast("bigint")), F.lit(0))).first()[0]  # one number
+    return kept, bytes_of(kept)
+
+
+def bytes_of(df: DataFrame) -> int:
+    return df.agg(F.coalesce(F.sum(row_bytes(df).cast("bigint")), F.lit(0))).first()[0]  # one number
 
 
 def small_side(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -111,9 +151,9 @@ def small_side(df: DataFrame, label: str, limit: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(kept) if size <= limit else kept
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], label: str, how: str = "inner", limit: int = BROADCAST_BYTES) -> DataFrame:
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], label: str = "side", how: str = "inner", limit: int = BROADCAST_BYTES, written_already: bool = False) -> DataFrame:
     """Join (inner or left) to a side with unique ``keys`` that is written and measured first: broadcast if small, else skew-safe."""
-    kept, size = measured(right, label)
+    kept, size = (right, bytes_of(right)) if written_already else measured(right, label)
     return left.join(F.broadcast(kept), keys, how) if size <= limit else skewed_lookup(left, kept, keys, max(1, left.count()), how=how)
 
 
@@ -131,6 +171,14 @@ def skewed_lookup(left: DataFrame, right: DataFrame, keys: list[str], total: int
     return cold.unionByName(warm)
 
 
+def first_of_each(df: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows of each group: of salted parts first, so that no task ranks the whole of a large group."""
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(parallelism(df.sparkSession)))
+    parts = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    some = df.withColumn("_salt", salt).withColumn("_n", F.row_number().over(parts)).where(F.col("_n") <= most).drop("_n", "_salt")
+    return some.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores before work that is heavy per row: shuffled only if its scan has too few splits."""
     want = max(parallelism(df.sparkSession), df.sparkSession.sparkContext.defaultParallelism)

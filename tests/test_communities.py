@@ -30,8 +30,75 @@ def test_local_moving_runs_until_no_node_gains(spark, rows):
     r = random.Random(5)
     pairs = sorted({tuple(f"n{i:03}" for i in sorted(r.sample(range(200), 2))) for _ in range(400)})
     e = spark.createDataFrame(pairs, "src string, dst string")
-    member = dict(rows(communities.louvain(e)))
+    member = dict(rows(communities.louvain(e, least_gain=0, coarser=False)))
     assert set(member) == {i for p in pairs for i in p} and set(member.values()) <= set(member)
     assert _improvable(pairs, member) == set()
     with pytest.warns(UserWarning, match="still moved"):
-        assert _improvable(pairs, dict(rows(communities.louvain(e, 1))))
+        assert _improvable(pairs, dict(rows(communities.louvain(e, 1, 0, False))))
+
+
+def _modularity(pairs, member):
+    m, total, inside = len(pairs), Counter(), 0
+    for a, b in pairs:
+        inside += member[a] == member[b]
+        total[member[a]] += 1
+        total[member[b]] += 1
+    return inside / m - sum(x * x for x in total.values()) / (4 * m * m)
+
+
+def _sequential(pairs):
+    """One level of local moving, one node after another."""
+    adj = defaultdict(Counter)
+    for a, b in pairs:
+        adj[a][b] += 1
+        adj[b][a] += 1
+    k, m, member = {i: sum(x.values()) for i, x in adj.items()}, len(pairs), {i: i for i in adj}
+    total = Counter(k)
+    for _ in range(50):
+        moved = False
+        for i in sorted(adj):
+            to, old = Counter({member[i]: 0}), member[i]
+            for j, w in adj[i].items():
+                to[member[j]] += w
+            gain = lambda c: (to[c] - to[old]) / m - k[i] * (total[c] - (total[old] - k[i])) / (2 * m * m)
+            best = max(sorted(c for c in to if c != old), key=gain, default=old)
+            if best != old and gain(best) > 1e-12:
+                total[old] -= k[i]
+                total[best] += k[i]
+                member[i], moved = best, True
+        if not moved:
+            return member
+    return member
+
+
+def test_modularity_is_not_below_that_of_sequential_moving(spark, rows):
+    r = random.Random(7)
+    blocks = [(a, b) for a in range(120) for b in range(a) if r.random() < (0.25 if a // 20 == b // 20 else 0.01)]
+    loose = sorted({tuple(sorted(r.sample(range(150), 2))) for _ in range(400)})
+    for pairs in (blocks, loose):
+        pairs = [(f"n{a:03}", f"n{b:03}") for a, b in pairs]
+        member = dict(rows(communities.louvain(spark.createDataFrame(pairs, "src string, dst string"))))
+        assert set(member) == {i for p in pairs for i in p} and set(member.values()) <= set(member)
+        assert _modularity(pairs, member) >= _modularity(pairs, _sequential(pairs)) - 0.005
+
+
+def test_components_agree_with_union_find(spark, rows):
+    r = random.Random(9)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)]
+    pairs = chain + [tuple(f"r{x:03}" for x in r.sample(range(300), 2)) for _ in range(160)] + [("h", f"x{i}") for i in range(40)] + [("s", "s")]
+    parent: dict[str, str] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    got = dict(rows(communities.components(spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("alone",)], "node string"))))
+    least: dict[str, str] = {}
+    for x in [*parent, "alone"]:
+        least[root(x)] = min(x, least.get(root(x), x))
+    assert got == {x: least[root(x)] for x in [*parent, "alone"] if x in got} and set(got) == {x for p in pairs for x in p} | {"alone"}
+    assert rows(communities.components(spark.createDataFrame([], "src string, dst string"))) == []

@@ -18,14 +18,14 @@ def test_heavy_keys_count_rows_as_they_stand(spark, rows):
 
 def test_key_figures_match_brute_force(spark, rows):
     pairs = [(f"s{i % 7}", "hot") for i in range(300)] + [(f"s{i}", f"t{i % 5}") for i in range(60)] + [(None, "hot"), ("s1", None)]
-    nodes = spark.createDataFrame([("s1", 3, "z"), ("s1", 4, "z"), ("s2", None, "z"), (None, 9, "z"), ("hot", 0, "z")], NODES)
+    nodes = spark.createDataFrame([("s1", 3, "z"), ("s1", 4, "z"), ("s2", None, "z"), (None, 9, "z"), ("hot", 0, "z"), ("lone", 5, "z")], NODES)
     got = {(f, k): (e, p, c) for f, k, e, p, c in rows(skew.key_figures(_edges(spark, pairs), nodes))}
     callees = {"s1": 7, "hot": 0}
     for field, i in (("source", 0), ("target", 1)):
         for key, n in Counter(p[i] for p in pairs if p[i]).items():
             partners = len({p[1 - i] for p in pairs if p[i] == key and p[1 - i]})
             assert got.pop((field, key)) == (n, partners, callees.get(key))
-    assert not got
+    assert got == {("source", "lone"): (0, 0, 5)}
 
 
 def test_a_small_dictionary_gives_the_same_sums(spark, rows, monkeypatch):
