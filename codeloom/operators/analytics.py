@@ -127,16 +127,21 @@ def db_impact(nodes: DataFrame, edges: DataFrame, table_name: str, column: str |
 
 
 def infrastructure(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The sections of an infrastructure summary; columns that a graph has not are null."""
+
+    def of(label: str, *columns: str) -> DataFrame:
+        return nodes.where(F.col("label") == label).select(*[F.col(c) if c in nodes.columns else F.lit(None).cast("string").alias(c) for c in columns])
+
     m = nodes.where("label = 'Method'")
     return {
-        "api_endpoints": nodes.where("label = 'ApiEndpoint'").select("http_method", "http_path", "framework"),
+        "api_endpoints": of("ApiEndpoint", "http_method", "http_path", "framework"),
         "queue_listeners": m.where("coalesce(is_queue_listener, false)").select("fq_name"),
         "scheduled_jobs": m.where("coalesce(is_scheduled, false)").select("fq_name"),
-        "config_keys": nodes.where("label = 'ConfigKey'").select("fq_name", "value"),
-        "env_vars": nodes.where("label = 'EnvVar'").select("fq_name", "value"),
-        "container_images": nodes.where("label = 'ContainerImage'").select("fq_name", "repository", "tag"),
-        "container_ports": nodes.where("label = 'ContainerPort'").select("port", "protocol"),
-        "terraform_resources": nodes.where("label = 'Resource'").select("fq_name", "resource_type", "provider"),
+        "config_keys": of("ConfigKey", "fq_name", "value"),
+        "env_vars": of("EnvVar", "fq_name", "value"),
+        "container_images": of("ContainerImage", "fq_name", "repository", "tag"),
+        "container_ports": of("ContainerPort", "port", "protocol"),
+        "terraform_resources": of("Resource", "fq_name", "resource_type", "provider"),
     }
 
 

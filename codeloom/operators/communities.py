@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.util import drop_written, first_of_each, lookup, written
+from codeloom.util import BROADCAST_BYTES, drop_written, first_of_each, lookup, skewed_lookup, written
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -76,8 +76,7 @@ def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarse
     - k_i (S_C - (S_old - k_i)) / (2 m^2), ties to the smaller id; moving half of the nodes at a time keeps
     neighbours from swapping for ever.  A level ends with a pass that moves no node or raises modularity by less than
     ``least_gain``, after ``passes`` at the latest (a warning then says how many nodes the last pass still moved).
-    With ``coarser`` the communities become the nodes of a next level, with a tenth of the gain to be reached, until
-    a level moves none; without, and with a ``least_gain`` of 0, one level runs until no node can gain by moving.
+    With ``coarser`` the communities become the nodes of a next level, until a level moves none; without, and with a ``least_gain`` of 0, one level runs until no node can gain by moving.
     """
     spark = edges.sparkSession
     named, named_at = written(adjacency(edges), "adjacency")
@@ -108,7 +107,7 @@ def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarse
         ends = lookup(ends, to.select(F.col("node").alias("v"), F.col("to").alias("b")), ["v"], written_already=True)
         next_adj, next_at = written(ends.groupBy(F.col("a").alias("u"), F.col("b").alias("v")).agg(F.sum("w").alias("w")), "adjacency")
         drop_written(spark, adj_at, to_at)
-        adj, adj_at, least_gain = next_adj, next_at, least_gain / 10
+        adj, adj_at = next_adj, next_at
     drop_written(spark, adj_at)
     names = ids.select(F.col("node").alias("community"), F.col("name").alias("_to"))
     return lookup(whole.join(ids, "node"), names, ["community"], "names").select(F.col("name").alias("node"), F.col("_to").alias("community"))
@@ -127,8 +126,9 @@ def _moved_level(adj: DataFrame, two_m: float, passes: int, least_gain: float) -
         moved, inside, squares = 0, 0.0, 0.0
         for half in (0, 1):
             totals, totals_at = written(member.groupBy("community").agg(F.sum("k").alias("s")), "totals")
-            state = lookup(member, totals, ["community"], written_already=True)
-            squares = totals.agg(F.sum(F.col("s") * F.col("s"))).first()[0]
+            sizes = totals.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("s") * F.col("s")).alias("squares")).first()  # two numbers
+            squares, small = sizes["squares"], sizes["n"] * 32 <= BROADCAST_BYTES
+            state = member.join(F.broadcast(totals), "community") if small else skewed_lookup(member, totals, ["community"], member.count())
             parity = lambda node, turn=turn, half=half: F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(2)) == half
             toward = across.where(parity("u")).join(state.select(F.col("node").alias("v"), "community", "s"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("k_in"), F.min("s").alias("s"))
             mine = state.where(parity("node")).select("node", F.col("community").alias("old"), "k", F.col("s").alias("s_old"))

@@ -110,3 +110,8 @@ def call_graph_hubs(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> Data
     deg = ends.groupBy("id").agg(F.sum("o").alias("out_deg"), F.sum("i").alias("in_deg"))
     named = nodes.where("label = 'Method' AND NOT startswith(fq_name, 'unresolved.')").select("id", "fq_name").join(deg, "id")
     return named.select("fq_name", "out_deg", "in_deg", (F.col("out_deg") + F.col("in_deg")).alias("total")).orderBy(F.col("total").desc(), "fq_name").limit(limit)
+
+
+def nodes_by_id(nodes: DataFrame, ids: list[str]) -> DataFrame:
+    """The nodes of some ids; ids without a node give no row."""
+    return nodes.where(F.col("id").isin(ids)).select("id", "label", "name", "fq_name", "path")

@@ -189,14 +189,8 @@ def bulk_callee_counts(g):
     return match.bulk_callee_counts(g.edges, g.methods().select("id"))
 
 
-@query("SELECT e.src AS container, n.label, n.fq_name, n.id FROM contains_ e JOIN nodes n ON e.dst = n.id WHERE e.src LIKE 'f%' QUALIFY row_number() OVER (PARTITION BY e.src ORDER BY n.fq_name, n.id) <= 5")
+@query("SELECT e.src AS container, n.label, n.fq_name, n.id FROM contains_ e JOIN nodes n ON e.dst = n.id WHERE e.src LIKE 'f%' QUALIFY row_number() OVER (PARTITION BY e.src ORDER BY n.fq_name, n.id) <= 200")
 def bulk_contains_capped(g):
-    return match.bulk_contains(g.nodes, g.edges, g.files().select("id"), 5)
-
-
-@query()
-def bulk_contains_whole(g):
-    """Up to the default cap of 200 children; bulk_contains_capped keeps the cap of its SQL."""
     return match.bulk_contains(g.nodes, g.edges, g.files().select("id"))
 
 
@@ -311,6 +305,34 @@ def outgoing_regex(g):
     return analytics.outgoing(g.nodes, g.edges, r"(?i)(nation_1[0-3]|nation_7)\..*op1[0-9]\(")
 
 
+def _renamed(g: Loaded) -> tuple[DataFrame, DataFrame]:
+    """The graph with clients' names put into some methods, so that the lists of names have something to find."""
+    names = F.array(*map(F.lit, [*analytics.HTTP_CLIENTS, *analytics.MESSAGE_CLIENTS, "OkHttpCall", "SqsQueue"]))
+    client = F.element_at(names, (F.substring("id", 2, 20).cast("bigint") % 13 + 1).cast("int"))
+    own = F.col("label") == "Method"
+    return g.nodes.withColumn("fq_name", F.when(own & (F.col("param_count") > 5), F.concat(client, F.lit("."), "fq_name")).otherwise(F.col("fq_name"))), g.edges
+
+
+_CLIENTS = "renamed AS (SELECT id, CASE WHEN param_count > 5 THEN ['RestTemplate', 'WebClient', 'HttpClient', 'FeignClient', 'OkHttpClient', 'KafkaTemplate', 'RabbitTemplate', 'JmsTemplate', 'StreamBridge', 'SqsTemplate', 'SnsTemplate', 'OkHttpCall', 'SqsQueue'][CAST(substr(id, 2) AS BIGINT) % 13 + 1] || '.' || fq_name ELSE fq_name END AS fq_name FROM methods)"
+
+
+def _service(what: str, pattern: str):
+    def f(g):
+        return analytics.service_links(*_renamed(g))[what]
+
+    f.__name__ = f"service_{what}"
+    query(f"{_CLIENTS};; SELECT a.fq_name AS caller, b.fq_name AS target, count(*) AS calls FROM calls e JOIN renamed a ON a.id = e.src JOIN renamed b ON b.id = e.dst WHERE regexp_matches(b.fq_name, '(?i){pattern}') GROUP BY 1, 2 ORDER BY calls DESC, caller, target LIMIT 50")(f)
+
+
+_service("outgoing_http", "(RestTemplate|WebClient|HttpClient|FeignClient|OkHttpClient)")
+_service("outgoing_messaging", "(KafkaTemplate|RabbitTemplate|JmsTemplate|StreamBridge|SqsTemplate|SnsTemplate)")
+
+
+@query("SELECT id, label, name, fq_name, path FROM nodes WHERE id IN ('f3', 'c5', 'nothing')")
+def nodes_by_id(g):
+    return match.nodes_by_id(g.nodes, ["f3", "c5", "nothing"])
+
+
 @query("SELECT t.fq_name AS \"table\", CASE e.edge_type WHEN 'READS_TABLE' THEN 'read' ELSE 'write' END AS access, count(DISTINCT e.src) AS sources FROM uses e JOIN tables_ t ON t.id = e.dst GROUP BY 1, 2")
 def tables_touched(g):
     return analytics.tables_touched(g.nodes, g.edges)
@@ -346,13 +368,17 @@ _RISK = "least(60, callers * 6) + least(20, refs * 2 // 5) + CASE WHEN tests > 0
 
 
 @query(
-    "cross_ AS (SELECT b.class_id AS target, e.edge_type, e.src, a.is_test FROM edges e JOIN methods a ON a.id = e.src JOIN methods b ON b.id = e.dst WHERE e.edge_type IN ('CALLS', 'REFERENCES') AND a.class_id <> b.class_id);; "
-    "per AS (SELECT c.fq_name, count(DISTINCT src) FILTER (edge_type = 'CALLS') AS callers, count(DISTINCT src) FILTER (edge_type = 'REFERENCES') AS refs, count(DISTINCT src) FILTER (is_test) AS tests FROM classes c LEFT JOIN cross_ ON target = c.id GROUP BY 1);; "
-    f'SELECT fq_name, callers, refs AS "references", tests, CAST({_RISK} AS BIGINT) AS risk, CASE WHEN {_RISK} >= 75 THEN \'HIGH\' WHEN {_RISK} >= 40 THEN \'MEDIUM\' ELSE \'LOW\' END AS risk_label FROM per'
+    f"{_BOTH};; cross_ AS (SELECT b.class_id AS target, e.edge_type, e.src FROM edges e JOIN methods a ON a.id = e.src JOIN methods b ON b.id = e.dst WHERE e.edge_type IN ('CALLS', 'REFERENCES') AND a.class_id <> b.class_id);; "
+    "near AS (SELECT id AS source, id AS node, 0 AS d FROM methods WHERE is_test UNION SELECT source, b.dst, d + 1 FROM near JOIN both_ b ON b.src = node WHERE d < 4);; "
+    "onto AS (SELECT DISTINCT b.src, m.class_id FROM both_ b JOIN methods m ON m.id = b.dst);; hit AS (SELECT DISTINCT source, class_id FROM (SELECT DISTINCT source, node FROM near) n JOIN onto ON onto.src = node);; "
+    "tested AS (SELECT h.class_id AS target, count(*) AS tests FROM hit h JOIN methods t ON t.id = h.source WHERE t.class_id <> h.class_id GROUP BY 1);; "
+    "per AS (SELECT c.id, c.fq_name, count(DISTINCT src) FILTER (edge_type = 'CALLS') AS callers, count(DISTINCT src) FILTER (edge_type = 'REFERENCES') AS refs FROM classes c LEFT JOIN cross_ ON target = c.id GROUP BY 1, 2);; "
+    "whole AS (SELECT fq_name, callers, refs, coalesce(tests, 0) AS tests FROM per LEFT JOIN tested ON target = id);; "
+    f'SELECT fq_name, callers, refs AS "references", tests, CAST({_RISK} AS BIGINT) AS risk, CASE WHEN {_RISK} >= 75 THEN \'HIGH\' WHEN {_RISK} >= 40 THEN \'MEDIUM\' ELSE \'LOW\' END AS risk_label FROM whole'
 )
 def migrate_risk(g):
-    """The direct tests only, as in the SQL; :func:`migrate_plan` is the whole plan."""
-    return analytics.migrate_plan(g.nodes, g.edges, 1).select("fq_name", "callers", "references", "tests", "risk", "risk_label")
+    """Tests that reach a class within 5 edges count; :func:`migrate_plan` has importers and modules as well."""
+    return analytics.migrate_plan(g.nodes, g.edges).select("fq_name", "callers", "references", "tests", "risk", "risk_label")
 
 
 @query()
@@ -391,9 +417,9 @@ for _d in (1, 2, 3):
     _impact(_d)
 
 
-@query("starts AS (SELECT id FROM methods WHERE is_scheduled);; " + _BOTH + ";; walk AS (SELECT id AS source, dst AS node, 1 AS d FROM both_ JOIN starts ON src = id UNION SELECT source, b.dst, d + 1 FROM walk JOIN both_ b ON b.src = node WHERE d < 2);; SELECT DISTINCT source, node FROM walk")
+@query("starts AS (SELECT id FROM methods WHERE is_scheduled);; " + _BOTH + ";; walk AS (SELECT id AS source, dst AS node, 1 AS d FROM both_ JOIN starts ON src = id UNION SELECT source, b.dst, d + 1 FROM walk JOIN both_ b ON b.src = node WHERE d < 3);; SELECT DISTINCT source, node FROM walk")
 def bulk_impacted(g):
-    return traverse.bulk_impacted(g.edges, g.methods().where("is_scheduled").select(F.col("id").alias("source")), 2)
+    return traverse.bulk_impacted(g.edges, g.methods().where("is_scheduled").select(F.col("id").alias("source")))
 
 
 @query(f"{_SEED};; {_BOTH};; walk AS (SELECT src AS node, 1 AS d FROM both_ JOIN seed ON dst = id UNION SELECT b.src, d + 1 FROM walk JOIN both_ b ON b.dst = node WHERE d < 3);; SELECT m.fq_name AS test, m.file_id, w.depth FROM (SELECT node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY 1) w JOIN methods m ON m.id = w.node WHERE m.is_test ORDER BY depth, test LIMIT 200")
@@ -414,19 +440,8 @@ def _flow(kind: str, entries: str, depth: int):
 
 
 _flow("main", "SELECT id FROM methods WHERE name = 'main' AND is_static", 3)
-_flow("test", "SELECT id FROM methods WHERE is_test", 1)
-_flow("rest", "SELECT DISTINCT dst AS id FROM handles", 2)
-
-
-@query()
-def flows_test_whole(g):
-    """:func:`flows` of all tests to the default depth; flows_test and flows_rest keep the depths of their SQL."""
-    return traverse.flows(g.nodes, g.edges, "test").select("entry", "id", F.array_join("reaches", "|").alias("reaches"))
-
-
-@query()
-def flows_rest_whole(g):
-    return traverse.flows(g.nodes, g.edges, "rest").select("entry", "id", F.array_join("reaches", "|").alias("reaches"))
+_flow("test", "SELECT id FROM methods WHERE is_test", 3)
+_flow("rest", "SELECT DISTINCT dst AS id FROM handles", 3)
 
 
 @query("walk AS (SELECT dst AS node, 1 AS d FROM contains_ WHERE src = 'f3' UNION SELECT b.dst, d + 1 FROM walk JOIN contains_ b ON b.src = node WHERE d < 16);; SELECT 'f3' AS source, node, CAST(min(d) AS INTEGER) AS depth FROM walk GROUP BY node")
@@ -479,16 +494,11 @@ def slice_d2_edges(g):
 
 
 @query(
-    "sym AS (SELECT file_id, id FROM methods WHERE file_id IN ('f1', 'f2', 'f3'));; " + _BOTH + ";; walk AS (SELECT id AS source, dst AS node, 1 AS d FROM both_ JOIN sym ON src = id UNION SELECT source, b.dst, d + 1 FROM walk JOIN both_ b ON b.src = node WHERE d < 1);; "
-    "SELECT f.path AS file, (SELECT count(*) FROM sym WHERE sym.file_id = f.id) AS symbols_touched, (SELECT count(*) FROM calls JOIN sym ON calls.dst = sym.id WHERE sym.file_id = f.id) AS incoming_callers, (SELECT count(DISTINCT node) FROM walk JOIN sym ON walk.source = sym.id WHERE sym.file_id = f.id) AS downstream_reach FROM files_ f WHERE f.id IN (SELECT file_id FROM sym)"
+    "sym AS (SELECT file_id, id FROM methods);; " + _BOTH + ";; walk AS (SELECT file_id AS source, dst AS node, 1 AS d FROM both_ JOIN sym ON src = id UNION SELECT source, b.dst, d + 1 FROM walk JOIN both_ b ON b.src = node WHERE d < 3);; "
+    "touched AS (SELECT file_id, count(*) AS n FROM sym GROUP BY 1);; called AS (SELECT sym.file_id, count(*) AS n FROM calls JOIN sym ON calls.dst = sym.id GROUP BY 1);; far AS (SELECT source, count(DISTINCT node) AS n FROM walk GROUP BY 1);; "
+    "SELECT f.path AS file, t.n AS symbols_touched, coalesce(c.n, 0) AS incoming_callers, coalesce(r.n, 0) AS downstream_reach FROM files_ f JOIN touched t ON t.file_id = f.id LEFT JOIN called c ON c.file_id = f.id LEFT JOIN far r ON r.source = f.id"
 )
 def pr_impact(g):
-    """Three files to depth 1, as in the SQL; :func:`pr_impact_all` is the whole."""
-    return analytics.pr_impact(g.nodes, g.edges, g.spark.createDataFrame([("f1",), ("f2",), ("f3",)], "file_id string"), 1)
-
-
-@query()
-def pr_impact_all(g):
     return analytics.pr_impact(g.nodes, g.edges, g.files().select(F.col("id").alias("file_id")))
 
 
@@ -500,7 +510,14 @@ def components(g):
     return communities.components(g.references().select("src", "dst"), g.methods().select(F.col("id").alias("node")))
 
 
-@query()
+def _least_labels(rounds: int) -> str:
+    """Labels after so many rounds of taking the least among the neighbours: more than any two calls are apart."""
+    parts = ["und AS MATERIALIZED (SELECT src AS u, dst AS v FROM calls UNION SELECT dst, src FROM calls)", "l0 AS MATERIALIZED (SELECT DISTINCT u AS node, u AS low FROM und)"]
+    parts += [f"l{k + 1} AS MATERIALIZED (SELECT l.node, least(l.low, min(n.low)) AS low FROM l{k} l JOIN und ON u = l.node JOIN l{k} n ON n.node = v GROUP BY l.node, l.low)" for k in range(rounds)]
+    return ";; ".join([*parts, f"SELECT node, low AS component FROM l{rounds}"])
+
+
+@query(_least_labels(24))
 def components_calls(g):
     return communities.components(g.calls().select("src", "dst"))
 
@@ -518,6 +535,23 @@ def louvain(g):
     return communities.louvain(g.calls())
 
 
+@query("SELECT TRUE AS all_members, TRUE AS one_each, TRUE AS named_by_members, TRUE AS not_below_floor")
+def louvain_holds(g):
+    """What must hold of communities: every node with a call in one of them, each named by a node, modularity not below that of one community a class."""
+    calls, adj = g.calls(), communities.adjacency(g.calls())
+    member, _ = written(communities.louvain(calls), "louvain")
+    ends = calls.where("src <> dst").select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    floor = communities.modularity(adj, g.methods().select(F.col("id").alias("node"), F.col("class_id").alias("community")))
+    q = communities.modularity(adj, member)
+    sizes = member.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node").alias("nodes"))
+    strange = member.join(ends, "node", "left_anti").unionByName(member.select(F.col("community").alias("node"), "community").join(ends, "node", "left_anti"))
+    wanted = ends.agg(F.count(F.lit(1)).alias("wanted"))
+    return (
+        sizes.join(wanted).join(strange.agg(F.count(F.lit(1)).alias("strange"))).join(q.withColumnRenamed("modularity", "q")).join(floor.withColumnRenamed("modularity", "floor"))  # one row each
+        .select((F.col("nodes") == F.col("wanted")).alias("all_members"), (F.col("n") == F.col("nodes")).alias("one_each"), (F.col("strange") == 0).alias("named_by_members"), (F.col("q") >= F.col("floor")).alias("not_below_floor"))
+    )
+
+
 @query()
 def leiden(g):
     return communities.leiden(g.calls())
@@ -650,7 +684,7 @@ def _cypher(name: str, text: str, sql: str, **params):
 _cypher("hubs", "MATCH (c:Class)-[:CONTAINS]->(m:Method) WITH c, count(m) AS n WHERE n >= $least RETURN c.fqName AS fq_name, n AS methods ORDER BY n DESC, fq_name LIMIT 30", "SELECT c.fq_name, count(*) AS methods FROM classes c JOIN contains_ e ON e.src = c.id JOIN methods m ON m.id = e.dst GROUP BY 1 HAVING count(*) >= 12 ORDER BY 2 DESC, 1 LIMIT 30", least=12)
 _cypher("optional", "MATCH (t:Table) OPTIONAL MATCH (m:Method)-[r:READS_TABLE|WRITES_TABLE]->(t) WHERE m.isTest = true RETURN t.name AS name, count(m) AS uses", "SELECT t.name, count(m.id) AS uses FROM tables_ t LEFT JOIN (SELECT u.dst, m.id FROM uses u JOIN methods m ON m.id = u.src WHERE m.is_test) m ON m.dst = t.id GROUP BY 1")
 _cypher("not_exists", "MATCH (m:Method {returnType: 'P'}) WHERE NOT EXISTS { MATCH (x:Method)-[:CALLS]->(m) } AND m.paramCount > 1 RETURN m.fqName AS fq_name", "SELECT fq_name FROM methods WHERE return_type = 'P' AND param_count > 1 AND id NOT IN (SELECT dst FROM calls)")
-_cypher("reach", "MATCH p = (c:Class)-[:EXTENDS*1..3]->(s:Class) WHERE c.name ENDS WITH '77' RETURN c.name AS name, s.name AS super, length(p) AS steps", "walk AS (SELECT c.id AS a, e.dst AS b, 1 AS d FROM classes c JOIN extends_ e ON e.src = c.id WHERE ends_with(c.name, '77') UNION SELECT a, e.dst, d + 1 FROM walk JOIN extends_ e ON e.src = b WHERE d < 3);; SELECT x.name, y.name AS super, CAST(min(d) AS INTEGER) AS steps FROM walk JOIN classes x ON x.id = a JOIN classes y ON y.id = b GROUP BY 1, 2")
+_cypher("reach", "MATCH p = (c:Class)-[:EXTENDS*1..3]->(s:Class) RETURN c.name AS name, s.name AS super, length(p) AS steps", "walk AS (SELECT c.id AS a, e.dst AS b, 1 AS d FROM classes c JOIN extends_ e ON e.src = c.id UNION SELECT a, e.dst, d + 1 FROM walk JOIN extends_ e ON e.src = b WHERE d < 3);; SELECT x.name, y.name AS super, CAST(min(d) AS INTEGER) AS steps FROM walk JOIN classes x ON x.id = a JOIN classes y ON y.id = b GROUP BY 1, 2")
 _cypher("union", "MATCH (e:ApiEndpoint) WHERE e.httpMethod IN ['GET', 'PUT'] RETURN e.httpPath AS path UNION MATCH (f:File)-[:EXPOSES]->(e:ApiEndpoint) WHERE f.language =~ '(?i)as.*' RETURN e.httpPath AS path", "SELECT http_path AS path FROM endpoints WHERE http_method IN ('GET', 'PUT') UNION SELECT e.http_path FROM endpoints e JOIN exposes x ON x.dst = e.id JOIN files_ f ON f.id = x.src WHERE regexp_full_match(f.language, '(?i)as.*')")
 
 

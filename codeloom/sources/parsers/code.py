@@ -127,6 +127,7 @@ def braces(sink: Sink, language: str) -> None:
     """Types, functions, imports and calls of a language with braces."""
     d = DIALECTS[language]
     text = masked(sink.text, d.style, ticks=d.ticks)
+    plain = masked(sink.text, d.style, strings=False, ticks=d.ticks)
     m = re.search(d.package, text)
     package = m[1] if m else ""
     base = f"{package}." if d.separator == "." and package else "" if d.separator == "." else f"{sink.path}::"
@@ -165,7 +166,7 @@ def braces(sink: Sink, language: str) -> None:
         g = m.groupdict()
         at = next(m.start(k) for k in ("open", "open2", "open3") if g.get(k))
         name = next((g[k] for k in ("name", "name2", "name3", "ctor") if g.get(k)), "")
-        if name in _NOT_NAMES or (g.get("type") in _NOT_NAMES):
+        if name in _NOT_NAMES or (g.get("type") in _NOT_NAMES and g["type"] != "void"):
             continue
         top, prefix = owner(at)
         if g.get("type") in ("public", "protected", "private"):  # a constructor: no type stands before its name
@@ -185,7 +186,7 @@ def braces(sink: Sink, language: str) -> None:
         sig = f"({','.join(_type_of(p) for p in params)})" if language == "java" else ""
         end = block_end(text, after + tail.end(1) - 1) if tail and tail[1] == "{" else after
         mods = (g.get("mods") or g.get("mods2") or "").split()
-        before = _marks(sink.text, text, m.start())
+        before = _marks(plain, text, m.start())
         key = sink.child(
             top, "Method", f"{prefix}{shown}{sig}", m.start("open" if g.get("open") else "open2" if g.get("open2") else "open3"), name=shown, signature=f"{shown}{sig}" if sig else None, param_count=len(params), end_line=sink.line(max(at, end - 1)), return_type=g.get("type"),
             visibility=next((v for v in ("public", "protected", "private") if v in mods), "package" if language == "java" else None), is_static="static" in mods or None, is_abstract="abstract" in mods or None, is_constructor=ctor,
@@ -193,7 +194,7 @@ def braces(sink: Sink, language: str) -> None:
         )
         methods.append((after, end, key, shown, len(params), top))
         if language == "java":
-            _spring(sink, before, key, top, spans)
+            _spring(sink, before, key, top, spans, plain, text)
     for start, end, key, name, _, top in methods:
         for m in _CALL.finditer(text, start, end):
             callee = m["name"] or m["member"]
@@ -241,13 +242,13 @@ def _path(args: str | None) -> str:
     return m[1] if m else ""
 
 
-def _spring(sink: Sink, before: str, key: Key, top: Key, spans) -> None:
+def _spring(sink: Sink, before: str, key: Key, top: Key, spans, plain: str, blanked: str) -> None:
     """Endpoints by mapping annotations: the class's path, then the method's."""
     m = _MAPPING.search(before)
     if not m:
         return
     start = next((s[0] for s in spans if s[2] == top), 0)
-    head = _marks(sink.text, masked(sink.text, "c"), sink.text.rfind("class", 0, start))
+    head = _marks(plain, blanked, blanked.rfind("class", 0, start))
     of_class = re.search(r"@RequestMapping\s*\(([^)]*)\)", head)
     verb = m[1].upper() if m[1] != "Request" else (re.search(r"RequestMethod\.(\w+)", m[2] or "") or [None, "GET"])[1]
     path = "/" + "/".join(p.strip("/") for p in (_path(of_class[1]) if of_class else "", _path(m[2])) if p.strip("/"))
