@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.chars import MIXED, clean, replace_words, suspects
+from codeloom.llm.chars import MIXED, clean, replace_words, skeleton, suspects
 from codeloom.util import lookup, small_side, written
 
 #: Documents of one look-alike group that a task joins at once.
@@ -83,3 +83,15 @@ def lookalike_pairs(docs: DataFrame) -> DataFrame:
     a = members.select("look", F.col("doc_id").alias("doc_id_a"), F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("salt"))
     b = members.select("look", F.col("doc_id").alias("doc_id_b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     return a.join(b, ["look", "salt"]).where("raw_a <> raw_b AND doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+
+
+def _looks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else skeleton(t) for t in b.column(1).to_pylist()], pa.string())], ["doc_id", "look"])
+
+
+def forms_and_looks(docs: DataFrame) -> DataFrame:
+    """``doc_id, form, look``: digests of each text's consistent form and of its look (all look-alikes replaced, whatever the words)."""
+    looks = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_looks, "doc_id bigint, look string")
+    forms = consistent_form(docs).select("doc_id", F.sha2("form", 256).alias("form"))
+    return forms.join(looks.select("doc_id", F.sha2("look", 256).alias("look")), "doc_id")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 #: The vocabulary's public pre-token pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Where the vocabulary lies if neither a parameter nor the session's ``spark.codeloom.vocabulary`` says so.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Distinct pre-tokens a worker remembers before it starts anew.
 REMEMBERED = 400_000
@@ -129,9 +130,13 @@ def _by_size(texts: list[str]) -> Iterator[list[str]]:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+def _ranks(df: DataFrame, vocabulary: str | None) -> list[bytes]:
+    return read_ranks(vocabulary or df.sparkSession.conf.get("spark.codeloom.vocabulary", VOCABULARY))
+
+
+def encoded(docs: DataFrame, vocabulary: str | None = None, pattern: str = PATTERN) -> DataFrame:
     """``doc_id, ids`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(read_ranks(vocabulary)))
+    shared = docs.sparkSession.sparkContext.broadcast(sentencepiece_model(_ranks(docs, vocabulary)))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,20 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTER
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
-def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def decoded(ids: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, text`` from ``doc_id, ids``."""
+    shared = ids.sparkSession.sparkContext.broadcast(_ranks(ids, vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = shared.value
+        for b in batches:
+            texts = [b"".join(map(tokens.__getitem__, x)).decode("utf-8") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, text string")
+
+
+def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Documents, characters and tokens per source."""
     sizes = encoded(docs, vocabulary).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"))
     about = docs.select("doc_id", "source", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("n"))
