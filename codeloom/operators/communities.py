@@ -130,7 +130,9 @@ def _moved_level(adj: DataFrame, two_m: float, passes: int, least_gain: float) -
             squares, small = sizes["squares"], sizes["n"] * 32 <= BROADCAST_BYTES
             state = member.join(F.broadcast(totals), "community") if small else skewed_lookup(member, totals, ["community"], member.count())
             parity = lambda node, turn=turn, half=half: F.pmod(F.xxhash64(node, F.lit(turn)), F.lit(2)) == half
-            toward = across.where(parity("u")).join(state.select(F.col("node").alias("v"), "community", "s"), "v").groupBy(F.col("u").alias("node"), "community").agg(F.sum("w").alias("k_in"), F.min("s").alias("s"))
+            # by the moving node from here on: its communities, the best of these and its move need no further exchange
+            seen = across.where(parity("u")).join(state.select(F.col("node").alias("v"), "community", "s"), "v").select(F.col("u").alias("node"), "community", "s", "w").repartition("node")
+            toward = seen.groupBy("node", "community").agg(F.sum("w").alias("k_in"), F.min("s").alias("s"))
             mine = state.where(parity("node")).select("node", F.col("community").alias("old"), "k", F.col("s").alias("s_old"))
             # the gain without the part that is the same for all communities
             score = F.col("k_in") / m - F.col("k") * F.col("s") / (2 * m * m)

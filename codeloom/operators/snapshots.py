@@ -52,7 +52,7 @@ def chunked(df: DataFrame, key: Column, values: list[str], chunk_rows: int = CHU
     h = F.xxhash64("record_key")
     # the hash's high bits name the range, so that ranges are pieces of the sorted keys; its low bits cut chunks
     place = F.shiftright(F.shiftrightunsigned(h, 33) * F.col("ranges"), 31).cast("int")
-    rows = rows.select("project_id", place.alias("range"), "snapshot_no", h.alias("h"), "record_key", "delivered_at", "v").repartition("project_id", "range")
+    rows = rows.select("project_id", place.alias("range"), "snapshot_no", "record_key", "delivered_at", "v").repartition("project_id", "range").withColumn("h", h)
 
     # newest row of each record; the same sort also serves the chunking below
     newest = Window.partitionBy("project_id", "range", "snapshot_no", "h", "record_key").orderBy(F.col("delivered_at").desc_nulls_last(), F.col("v").desc())
