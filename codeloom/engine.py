@@ -86,11 +86,31 @@ class GraphEngine:
         """A query text; see :mod:`codeloom.plans.cypher`."""
         return cypher.run(text, self.nodes, self.edges, params)
 
+    def tagged(self, analysis: str, *args: Any, **kw: Any) -> DataFrame:
+        """The rows of an analysis for every project, each with its ``project_id``: an analysis that looks at one project only is run for each."""
+        out = None
+        for r in sorted(x[0] for x in self.nodes.select("project_id").where("project_id is not null").distinct().collect()):  # projects
+            rows = getattr(GraphEngine(self.nodes, self.edges, r), analysis)(*args, **kw).withColumn("project_id", F.lit(r))
+            out = rows if out is None else out.unionByName(rows)
+        if out is None:
+            raise ValueError("the graph has no project")
+        return out
+
+    def rename(self, symbol: str) -> DataFrame | None:
+        """What a rename of a symbol has to change."""
+        i = self._id(symbol)
+        return None if i is None else match.rename_sites(self.nodes, self.edges, i)
+
+    def context(self, symbol: str, depth: int = 1) -> tuple[DataFrame, DataFrame] | None:
+        """A symbol's neighbourhood: nodes and the edges among them."""
+        i = self._id(symbol)
+        return None if i is None else traverse.ego_slice(self.nodes, self.edges, i, depth)
+
     def wiki(self) -> str:
         """A page about the graph, from its bounded summaries."""
         parts = analytics.onboard(self.nodes, self.edges)
         lines = ["# Overview", ""]
         for title, df in parts.items():
-            rows = df.limit(50).collect()
+            rows = df.limit(50).collect()  # a page shows the first of each part
             lines += [f"## {title.replace('_', ' ').capitalize()}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns), *["| " + " | ".join(str(x) for x in r) + " |" for r in rows], ""]
         return "\n".join(lines)

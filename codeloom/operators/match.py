@@ -115,3 +115,38 @@ def call_graph_hubs(nodes: DataFrame, edges: DataFrame, limit: int = 10) -> Data
 def nodes_by_id(nodes: DataFrame, ids: list[str]) -> DataFrame:
     """The nodes of some ids; ids without a node give no row."""
     return nodes.where(F.col("id").isin(ids)).select("id", "label", "name", "fq_name", "path")
+
+
+def file_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id, path`` of the file that each of the nodes (column ``id``) lies in; those without a file are left out."""
+    files = nodes.where("label = 'File'").select(F.col("id").alias("file_id"), "path")
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi").select("id", "file_id").join(files, "file_id").select("id", "path")
+
+
+def is_empty(nodes: DataFrame) -> bool:
+    return nodes.isEmpty()
+
+
+def graph_health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Per project ``project_id, files, nodes, edges, last_ingested_at``; an edge belongs to the project of its source."""
+    per = nodes.groupBy("project_id").agg(F.count_if(F.col("label") == "File").alias("files"), F.count(F.lit(1)).alias("nodes"), F.max("last_ingested_at").alias("last_ingested_at"))
+    lines = edges.select(F.col("src").alias("id")).join(nodes.select("id", "project_id"), "id").groupBy("project_id").agg(F.count(F.lit(1)).alias("edges"))
+    return per.join(lines, "project_id", "left").select("project_id", "files", "nodes", F.coalesce("edges", F.lit(0).cast("bigint")).alias("edges"), "last_ingested_at")
+
+
+def doctor(nodes: DataFrame, edges: DataFrame, labels: list[str]) -> DataFrame:
+    """``check, found``: what is wrong with a graph, by kind: loose edge ends, repeated ids, unknown labels, members of no project."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("id"))
+    loose = ends.join(nodes.select("id"), "id", "left_anti").agg(F.count(F.lit(1)).alias("found"))
+    again = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("found"))
+    own = nodes.agg(F.count_if(~F.col("label").isin(labels)).alias("unknown_labels"), F.count_if(F.col("project_id").isNull()).alias("no_project"))
+    flat = own.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("found")) for c in ("unknown_labels", "no_project")])).alias("x")).select("x.*")
+    return loose.select(F.lit("loose_edge_ends").alias("check"), "found").unionByName(again.select(F.lit("repeated_ids").alias("check"), "found")).unionByName(flat)
+
+
+def rename_sites(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
+    """``site, label, fq_name, file_id, line``: the definition of a symbol and all that names it, which a rename has to change."""
+    own = nodes.where(F.col("id") == node_id).select(F.lit("definition").alias("site"), "label", "fq_name", "file_id", F.col("start_line").alias("line"))
+    uses = edges.where((F.col("dst") == node_id) & F.col("edge_type").isin("CALLS", "REFERENCES", "IMPORTS", "EXTENDS", "IMPLEMENTS", "HANDLES"))
+    named = uses.select(F.col("src").alias("id"), F.lower("edge_type").alias("site"), "call_site_line").join(nodes.select("id", "label", "fq_name", "file_id", "start_line"), "id")
+    return own.unionByName(named.select("site", "label", "fq_name", "file_id", F.coalesce("call_site_line", "start_line").alias("line")))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom import model
+from codeloom.engine import GraphEngine
 from codeloom.operators import analytics, communities, ingest, match, rules, traverse
 from codeloom.plans import cypher, star
 from codeloom.plans.star import Star
@@ -316,6 +317,31 @@ def _renamed(g: Loaded) -> tuple[DataFrame, DataFrame]:
 _CLIENTS = "renamed AS (SELECT id, CASE WHEN param_count > 5 THEN ['RestTemplate', 'WebClient', 'HttpClient', 'FeignClient', 'OkHttpClient', 'KafkaTemplate', 'RabbitTemplate', 'JmsTemplate', 'StreamBridge', 'SqsTemplate', 'SnsTemplate', 'OkHttpCall', 'SqsQueue'][CAST(substr(id, 2) AS BIGINT) % 13 + 1] || '.' || fq_name ELSE fq_name END AS fq_name FROM methods)"
 
 
+@query("SELECT m.id, f.path FROM methods m JOIN files_ f ON f.id = m.file_id")
+def file_of(g):
+    return match.file_of(g.nodes, g.methods().select("id"))
+
+
+@query("SELECT n.project_id, count(*) FILTER (label = 'File') AS files, count(*) AS nodes, coalesce((SELECT count(*) FROM edges e JOIN nodes s ON s.id = e.src WHERE s.project_id = n.project_id), 0) AS edges, max(CASE WHEN label = 'Method' THEN (SELECT max(last_ingested_at) FROM methods) END) AS last_ingested_at FROM nodes n GROUP BY n.project_id")
+def graph_health(g):
+    return match.graph_health(g.nodes, g.edges)
+
+
+@query("SELECT * FROM (VALUES ('loose_edge_ends', 0::BIGINT), ('repeated_ids', 0), ('unknown_labels', 0), ('no_project', 0)) AS t(\"check\", found)")
+def doctor(g):
+    return match.doctor(g.nodes, g.edges, "Project File Class Method Table Column ApiEndpoint MavenDependency Module ConfigKey".split())
+
+
+@query(f"{_SEED};; SELECT 'definition' AS site, 'Method' AS label, fq_name, file_id, start_line AS line FROM methods WHERE id = (SELECT id FROM seed) UNION ALL SELECT 'calls', 'Method', m.fq_name, m.file_id, coalesce(e.call_site_line, m.start_line) FROM calls e JOIN methods m ON m.id = e.src WHERE e.dst = (SELECT id FROM seed) UNION ALL SELECT 'references', 'Method', m.fq_name, m.file_id, m.start_line FROM refs e JOIN methods m ON m.id = e.src WHERE e.dst = (SELECT id FROM seed) UNION ALL SELECT 'handles', 'ApiEndpoint', n.fq_name, n.file_id, NULL FROM handles e JOIN nodes n ON n.id = e.src WHERE e.dst = (SELECT id FROM seed)")
+def rename_sites(g):
+    return match.rename_sites(g.nodes, g.edges, _busiest(g))
+
+
+@query("SELECT project_id, label, count(*) AS count FROM nodes GROUP BY ALL")
+def tagged_node_counts(g):
+    return GraphEngine(g.nodes, g.edges).tagged("node_counts")
+
+
 def _service(what: str, pattern: str):
     def f(g):
         return analytics.service_links(*_renamed(g))[what]

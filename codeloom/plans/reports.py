@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -42,21 +43,30 @@ def guard_badge(nodes: DataFrame, edges: DataFrame) -> str:
 
 
 class ResultCache:
-    """Results of a store's queries as written tables; a new version of the graph makes them all void."""
+    """Results of a store's queries as written tables, for ``seconds`` each; a new version of the graph makes them all void."""
 
-    def __init__(self, store: GraphStore, most: int = 256) -> None:
-        self.store, self.most, self.version = store, most, None
+    def __init__(self, store: GraphStore, most: int = 4096, seconds: float = 30) -> None:
+        self.store, self.most, self.seconds, self.version = store, most, seconds, None
         self.kept: dict[tuple, tuple[DataFrame, str]] = {}
+        self.since: dict[tuple, float] = {}
+
+    def warm(self, queries: dict[tuple, Callable[[DataFrame, DataFrame], DataFrame]]) -> None:
+        """Compute results before they are asked for."""
+        for key, compute in queries.items():
+            self.get(key, compute)
 
     def get(self, key: tuple, compute: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
         version = self.store.current()["version"]
         if version != self.version:
             self.clear()
             self.version = version
+        if key in self.kept and time.monotonic() - self.since[key] > self.seconds:
+            drop_written(self.store.spark, self.kept.pop(key)[1])
         if key not in self.kept:
             if len(self.kept) >= self.most:  # the oldest quarter goes
                 for old in list(self.kept)[: max(1, self.most // 4)]:
                     drop_written(self.store.spark, self.kept.pop(old)[1])
+            self.since[key] = time.monotonic()
             self.kept[key] = written(compute(self.store.nodes, self.store.edges), "result")
         return self.kept[key][0]
 

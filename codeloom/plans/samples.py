@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.operators import analytics
 from codeloom.sources.files import graph_of, parsed
 
 #: What a declaration in a comment or a string of the tree is called.
@@ -105,6 +106,11 @@ shop:
 <!-- <dependency><groupId>phantom</groupId><artifactId>phantom</artifactId><version>1</version></dependency> -->
 <dependency><groupId>org.shop</groupId><artifactId>shop-core</artifactId><version>1.2</version></dependency>
 </dependencies></project>
+""",
+    "infra/main.tf": """# resource "phantom" "one" {}
+resource "aws_queue" "orders" {
+  name = "resource phantom two"
+}
 """,
     "web/site.css": "/* .phantom { color: red } */\n:root { --gap: 4px; }\n.cart { color: blue }\n",
 }
@@ -132,6 +138,16 @@ def relations(spark: SparkSession) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("from_name", "edge_type", "to_name")
 
 
+def infrastructure(spark: SparkSession) -> DataFrame:
+    """``section, a, b, c``: the sections of the infrastructure summary in one table."""
+    out = None
+    for section, df in analytics.infrastructure(graph(spark)[0]).items():
+        cols = [F.col(c).cast("string") for c in df.columns] + [F.lit(None).cast("string")] * (3 - len(df.columns))
+        part = df.select(F.lit(section).alias("section"), *[c.alias(n) for c, n in zip(cols, "abc")])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def audit(spark: SparkSession) -> DataFrame:
     """``label, declared, phantoms``: nodes of each label, and those whose name stands only in comments and strings."""
     n = graph(spark)[0].where("NOT startswith(fq_name, 'unresolved.') OR contains(lower(fq_name), 'phantom')")
@@ -162,6 +178,7 @@ File|cmd/main.go
 File|config/app.properties
 File|config/application.yml
 File|db/schema.sql
+File|infra/main.tf
 File|pom.xml
 File|src/main/java/shop/Cart.java
 File|src/main/java/shop/api/CartController.java
@@ -188,6 +205,7 @@ Module|./http
 Module|fmt
 Module|java.util.List
 Module|os
+Resource|aws_queue.orders
 Struct|main.Server
 Table|carts
 """
@@ -210,6 +228,7 @@ config/application.yml|CONTAINS|shop.name
 db/schema.sql|CONTAINS|carts
 db/schema.sql|READS_TABLE|carts
 db/schema.sql|WRITES_TABLE|carts
+infra/main.tf|CONTAINS|aws_queue.orders
 main.Server|CONTAINS|main.Server.Start
 main.main|CALLS|main.run
 pom.xml|DECLARES|org.shop:shop-core
@@ -241,6 +260,18 @@ web/site.css|CONTAINS|--gap
 web/site.css|CONTAINS|cart
 """
 
+_INFRASTRUCTURE = """
+api_endpoints|GET|/carts/{id}|spring
+api_endpoints|POST|/carts|spring
+config_keys|server.port|8080|
+config_keys|shop.limit|5|
+config_keys|shop.name|phantom: text|
+container_images|base:2|base|2
+container_ports|8080|tcp|
+env_vars|SHOP_MODE|fast|
+terraform_resources|aws_queue.orders|aws_queue|aws
+"""
+
 
 def _values(lines: str, *columns: str) -> str:
     rows = ", ".join("(" + ", ".join(f"'{x}'" for x in line.split("|")) + ")" for line in lines.strip().split("\n"))
@@ -250,10 +281,12 @@ def _values(lines: str, *columns: str) -> str:
 QUERIES = {
     "parsed_declarations": lambda spark, sf_dir: declarations(spark),
     "parsed_relations": lambda spark, sf_dir: relations(spark),
+    "parsed_infrastructure": lambda spark, sf_dir: infrastructure(spark),
     "parsed_audit": lambda spark, sf_dir: audit(spark),
 }
 ORACLE = {
     "parsed_declarations": f"SELECT * FROM {_values(_DECLARED, 'label', 'fq_name')}",
     "parsed_relations": f"SELECT * FROM {_values(_RELATED, 'from_name', 'edge_type', 'to_name')}",
+    "parsed_infrastructure": f"SELECT section, a, b, nullif(c, '') AS c FROM {_values(_INFRASTRUCTURE, 'section', 'a', 'b', 'c')}",
     "parsed_audit": f"SELECT label, count(*) AS declared, CAST(0 AS BIGINT) AS phantoms FROM {_values(_DECLARED, 'label', 'fq_name')} GROUP BY label",
 }

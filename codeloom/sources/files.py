@@ -87,3 +87,27 @@ def graph_of(events: DataFrame, project_id: str) -> tuple[DataFrame, DataFrame]:
 def scanned(spark: SparkSession, root: str, project_id: str) -> tuple[DataFrame, DataFrame]:
     """The graph of a source tree."""
     return graph_of(parsed(scan_files(spark, root)), project_id)
+
+
+def files_at(spark: SparkSession, root: str, commit: str, ignored: list[str] = IGNORED) -> DataFrame:
+    """``path, content, content_hash`` of the files of a commit that some parser reads; ``root`` is a repository all executors see.
+
+    The paths are spread over the executors, which read their contents from the repository; no tree is checked out.
+    """
+    run = subprocess.run(["git", "-C", root, "ls-tree", "-r", "-z", "--name-only", commit], capture_output=True, text=True, check=True)
+    names = [(p,) for p in run.stdout.split("\0") if p and not set(p.split("/")[:-1]) & set(ignored)]
+    endings = {e for _, ends, _ in REGISTRY for e in ends}
+    known = [p for p in names if (n := p[0].lower().rsplit("/", 1)[-1]) in endings or n.rsplit(".", 1)[-1] in endings or n.startswith("dockerfile.")]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [subprocess.run(["git", "-C", root, "show", f"{commit}:{p}"], capture_output=True, check=True).stdout.decode("utf-8", "replace") for p in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["path", "content"])
+
+    paths = spread(spark.createDataFrame(known, "path string"))
+    return paths.mapInArrow(read, "path string, content string").withColumn("content_hash", F.substring(F.sha2("content", 256), 1, 16))
+
+
+def snapshot_at(spark: SparkSession, root: str, project_id: str, commit: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of a source tree as it was at a commit, under a project of its own (the id and the commit's first 12 digits)."""
+    return graph_of(parsed(files_at(spark, root, commit)), f"{project_id}__sha_{commit[:12]}")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from codeloom.operators.orphans import OrphanState
 from codeloom.sources.files import graph_of, parsed
@@ -78,6 +78,46 @@ class Watcher:
         return changes.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(processingTime=f"{millis} milliseconds").start()
 
 
+class Monitors:
+    """Watchers of several trees, one stream each; one that is running is not started again."""
+
+    def __init__(self) -> None:
+        self.queries: dict[str, StreamingQuery] = {}
+
+    def start(self, name: str, watcher: Watcher, changes: DataFrame, checkpoint: str, millis: int = 250) -> bool:
+        if name in self.queries and self.queries[name].isActive:
+            return False
+        self.queries[name] = watcher.start(changes, checkpoint, millis)
+        return True
+
+    def running(self) -> list[str]:
+        return sorted(n for n, q in self.queries.items() if q.isActive)
+
+    def stop(self, name: str) -> None:
+        q = self.queries.pop(name, None)
+        if q is not None:
+            q.stop()
+
+
+class ProgressEvents(StreamingQueryListener):
+    """Hands on what streams do as events: ``started``, ``progress`` (with the rows read) and ``ended``."""
+
+    def __init__(self, push: Callable[[dict], None]) -> None:
+        self.push = push
+
+    def onQueryStarted(self, event) -> None:
+        self.push({"event": "started", "id": str(event.id)})
+
+    def onQueryProgress(self, event) -> None:
+        self.push({"event": "progress", "id": str(event.progress.id), "rows": event.progress.numInputRows})
+
+    def onQueryIdle(self, event) -> None:
+        self.push({"event": "idle", "id": str(event.id)})
+
+    def onQueryTerminated(self, event) -> None:
+        self.push({"event": "ended", "id": str(event.id), "error": event.exception})
+
+
 def catch_up(changes: DataFrame, watcher: Watcher, checkpoint: str) -> None:
     """Apply all changes that wait (a re-scan since the last one), then stop."""
     changes.writeStream.foreachBatch(watcher.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
