@@ -57,15 +57,12 @@ def test_pr_impact_of_all_files_reaches_three_edges(spark, rows):
 
     assert rows(analytics.pr_impact(nodes, edges, files)) == want(3) != want(2)
     assert rows(analytics.pr_impact(nodes, edges, files, 1)) == want(1)
-    assert "pr_impact_all" in reference.QUERIES
+    assert {"pr_impact", "migrate_plan"} <= set(reference.QUERIES)
 
 
 def test_whole_flows_and_children(spark):
     sf = "/root/testdata/sf0.001"
-    run = lambda name: {r["id"]: r for r in reference.QUERIES[name](spark, sf).collect()}
     for kind in ("test", "rest"):
-        small, whole = run(f"flows_{kind}"), run(f"flows_{kind}_whole")
-        size = lambda rows: sum(len(r["reaches"].split("|")) for r in rows.values())
-        assert set(small) == set(whole) and size(whole) > size(small)
-    kids = reference.QUERIES["bulk_contains_whole"](spark, sf).groupBy("container").count().collect()
+        assert max(len(r["reaches"].split("|")) for r in reference.QUERIES[f"flows_{kind}"](spark, sf).collect()) > 10
+    kids = reference.QUERIES["bulk_contains_capped"](spark, sf).groupBy("container").count().collect()
     assert max(r["count"] for r in kids) > 5
