@@ -76,7 +76,7 @@ def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarse
     - k_i (S_C - (S_old - k_i)) / (2 m^2), ties to the smaller id; moving half of the nodes at a time keeps
     neighbours from swapping for ever.  A level ends with a pass that moves no node or raises modularity by less than
     ``least_gain``, after ``passes`` at the latest (a warning then says how many nodes the last pass still moved).
-    With ``coarser`` the communities become the nodes of a next level, until a level moves none; without, and with a ``least_gain`` of 0, one level runs until no node can gain by moving.
+    With ``coarser`` the communities become the nodes of a next level, until a level makes none of several nodes; without, and with a ``least_gain`` of 0, one level runs until no node can gain by moving.
     """
     spark = edges.sparkSession
     named, named_at = written(adjacency(edges), "adjacency")
@@ -92,7 +92,8 @@ def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarse
     whole, whole_at = written(ids.select("node", F.col("node").alias("community")), "whole")
     while True:
         member, member_at, moved = _moved_level(adj, two_m, passes, least_gain)
-        if not moved:
+        sizes = member.agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct("community").alias("communities")).first()  # two numbers
+        if not moved or sizes["nodes"] == sizes["communities"]:  # every level that goes on has fewer nodes than the one before
             drop_written(spark, member_at)
             break
         # a community takes the number of its first node
