@@ -421,7 +421,7 @@ class Compiler:
     def bind(self, patterns: list[Pattern], frame: DataFrame | None, where: Any = None) -> DataFrame:
         for p in patterns:
             nodes, rels = p.parts[::2], p.parts[1::2]
-            if frame is not None and nodes[0].var not in self.vars and not self.joined_by({x.var for x in p.parts}, where):
+            if frame is not None and not {n.var for n in nodes} & set(self.vars) and not self.joined_by({x.var for x in p.parts}, where):
                 raise CypherError(f"({nodes[0].var}) shares no variable with what comes before, and WHERE sets nothing of it equal to that: all pairs are not given")
             frame = self.add_node(nodes[0], frame)
             for a, r, b in zip(nodes, rels, nodes[1:]):
