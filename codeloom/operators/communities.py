@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.operators import blocks
 from codeloom.util import BROADCAST_BYTES, drop_written, first_of_each, lookup, skewed_lookup, written
 
 
@@ -68,7 +74,7 @@ def modularity(adj: DataFrame, member: DataFrame, node: str = "node", community:
     return per.agg(F.round(F.sum(F.col("inside") / total - (F.col("deg") / total) * (F.col("deg") / total)), 6).alias("modularity"))
 
 
-def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarser: bool = True) -> DataFrame:
+def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarser: bool = True, stored: bool = False) -> DataFrame:
     """``node, community`` by local moving in parallel, level by level.
 
     A pass has two halves: the nodes of one parity (of a hash that changes with the pass), then those of the
@@ -77,7 +83,144 @@ def louvain(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarse
     neighbours from swapping for ever.  A level ends with a pass that moves no node or raises modularity by less than
     ``least_gain``, after ``passes`` at the latest (a warning then says how many nodes the last pass still moved).
     With ``coarser`` the communities become the nodes of a next level, until a level makes none of several nodes; without, and with a ``least_gain`` of 0, one level runs until no node can gain by moving.
+    Moves are made on blocks of edges (:mod:`blocks`), or by joins where the graph is none for these; a community has the name of one of its nodes.
+    ``stored`` edges are a scan of files and are read again instead of being written first.
     """
+    pairs, graph = _graph(edges, stored)
+    if graph is None:
+        return _by_joins(pairs, passes, least_gain, coarser)
+    member = graph.named(_moved(graph, passes, least_gain, coarser))
+    graph.drop()
+    return member
+
+
+def _graph(edges: DataFrame, stored: bool) -> tuple[DataFrame, blocks.Graph | None]:
+    pairs, at = edges.where("src <> dst").select("src", "dst"), None
+    if not stored:
+        pairs, at = written(pairs, "pairs")
+    graph = blocks.graph(pairs)
+    if graph is not None and at:
+        drop_written(pairs.sparkSession, at)
+    return pairs, graph
+
+
+def _moved(graph: blocks.Graph, passes: int, least_gain: float, coarser: bool) -> np.ndarray:
+    """The community of each node, by number, after all levels on blocks."""
+    whole, level = np.arange(graph.n, dtype=np.int32), graph
+    while graph.n:
+        member, moved = _moved_blocks(level, passes, least_gain)
+        used = np.zeros(level.n, bool)
+        used[member] = True
+        left = int(used.sum())
+        if moved and left < level.n:  # every level that goes on has fewer nodes than the one before
+            to = (np.cumsum(used, dtype=np.int32) - 1)[member]
+            whole = to[whole]
+            if coarser:
+                done, level = level, level.coarser(to, left)
+                if done is not graph:
+                    done.drop_blocks()
+                continue
+        if level is not graph:
+            level.drop_blocks()
+        break
+    return whole
+
+
+def _parity(nodes: np.ndarray, turn: int) -> np.ndarray:
+    """One bit of a hash of node and turn."""
+    x = nodes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((turn + 1) * 0xBF58476D1CE4E5B9 % 2**64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return (x >> np.uint64(40)) & np.uint64(1)
+
+
+def _moved_blocks(graph: blocks.Graph, passes: int, least_gain: float) -> tuple[np.ndarray, int]:
+    """The community of each node after the passes of one level on blocks, and how many moves there were.
+
+    Edges from a node to itself (of coarser levels) count in its degree and move with it.
+    """
+    n, size, files, two_m, m = graph.n, graph.size, graph.files, graph.two_m, graph.two_m / 2
+    k_at, own_at, s_at, at = (f"{graph.at}/{x}-{uuid.uuid4().hex}" for x in ("k", "own", "s", "member"))
+    blocks.new_values(k_at, n, "f8"), blocks.new_values(own_at, n, "f8")
+
+    def said(moved: int, inside: float) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"moved": pa.array([float(moved)]), "inside": pa.array([float(inside)])})
+
+    def degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, own = blocks.values(k_at, "f8", "r+"), blocks.values(own_at, "f8", "r+")
+        for part, u, v, w in blocks.blocks_of(batches, files):
+            lo, hi = part * size, min(n, part * size + size)
+            k[lo:hi] = np.bincount(u - lo, w, hi - lo)
+            own[lo:hi] = np.bincount(u - lo, w * (u == v), hi - lo)
+        k.flush(), own.flush()
+        yield said(0, 0.0)
+
+    graph.sums(degrees, "moved", "inside")
+    k_all = np.fromfile(k_at)
+    member = np.arange(n, dtype=np.int32)
+    before, moves_of_all = None, 0
+    for turn in range(passes):
+        moved, inside, squares = 0, 0.0, 0.0
+        for half in (0, 1):
+            totals = np.bincount(member, k_all, n)
+            squares = float((totals * totals).sum())
+            totals.tofile(s_at), member.tofile(at)
+            del totals
+            new_at = f"{at}-{turn}-{half}"
+            blocks.new_values(new_at, n, "i4")
+
+            def move(batches: Iterator[pa.RecordBatch], turn=turn, half=half, new_at=new_at) -> Iterator[pa.RecordBatch]:
+                old, new = blocks.values(at, "i4"), blocks.values(new_at, "i4", "r+")
+                k, own, s = (blocks.values(x, "f8") for x in (k_at, own_at, s_at))
+                for part, u, v, w in blocks.blocks_of(batches, files):
+                    lo, hi = part * size, min(n, part * size + size)
+                    mine = _parity(np.arange(lo, hi), turn) == half
+                    out, count, inside = np.array(old[lo:hi]), 0, float(own[lo:hi][mine].sum())
+                    pick = mine[u - lo] & (u != v)
+                    if pick.any():
+                        nodes, to, k_in = _toward(u[pick] - lo, old[v[pick]], w[pick])
+                        here, ku = out[nodes] == to, np.asarray(k[lo:hi])[nodes]
+                        # the gain without the part that is the same for all communities
+                        score = np.where(here, -np.inf, k_in / m - ku * s[to] / (2 * m * m))
+                        starts = np.flatnonzero(np.r_[True, nodes[1:] != nodes[:-1]])
+                        best, each = np.maximum.reduceat(score, starts), np.diff(np.r_[starts, len(nodes)])
+                        k_old = np.add.reduceat(np.where(here, k_in, 0.0), starts)
+                        first = np.flatnonzero(score == np.repeat(best, each))  # the smaller community of several
+                        target = to[first[np.r_[True, nodes[first][1:] != nodes[first][:-1]]]]
+                        node, ku = nodes[starts], ku[starts]
+                        gain = best - k_old / m + ku * (s[out[node]] - ku) / (2 * m * m)
+                        goes = gain > 1e-12
+                        out[node[goes]] = target[goes]
+                        count, inside = int(goes.sum()), inside + float(k_old.sum())
+                    new[lo:hi] = out
+                    yield said(count, inside)
+                new.flush()
+
+            got = graph.sums(move, "moved", "inside")
+            moved, inside = moved + int(got[0]), inside + got[1]
+            member = np.fromfile(new_at, np.int32)[:n]
+            os.unlink(new_at)
+        moves_of_all += moved
+        # modularity as the pass met it, each half before its moves
+        now = inside / two_m - squares / (two_m * two_m)
+        if not moved or before is not None and least_gain and now - before < least_gain:
+            break
+        before = now
+    else:
+        warnings.warn(f"louvain: pass {passes}, the last allowed, still moved {moved} nodes", stacklevel=4)
+    for path in (k_at, own_at, s_at, at):
+        if os.path.exists(path):
+            os.unlink(path)
+    return member, moves_of_all
+
+
+def _toward(nodes: np.ndarray, to: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, community and the weight between them, in this order."""
+    keys, k_in = blocks.summed(blocks.keyed(nodes, to), w.astype(float))
+    return keys >> 32, keys & 0xFFFFFFFF, k_in
+
+
+def _by_joins(edges: DataFrame, passes: int, least_gain: float, coarser: bool) -> DataFrame:
+    """:func:`louvain` by joins of DataFrames, whatever the number of nodes."""
     spark = edges.sparkSession
     named, named_at = written(adjacency(edges), "adjacency")
     degree = named.groupBy("u").agg(F.sum("w").alias("k"))
@@ -159,11 +302,52 @@ def _moved_level(adj: DataFrame, two_m: float, passes: int, least_gain: float) -
     return member, at, moves_of_all
 
 
-def leiden(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarser: bool = True) -> DataFrame:
-    """Louvain's communities, split into connected parts: ``node, community``."""
-    member, _ = written(louvain(edges, passes, least_gain, coarser), "louvain")
-    inner = _inside(edges.where("src <> dst").select("src", "dst"), member).select("src", "dst")
-    return components(inner, member.select("node")).withColumnRenamed("component", "community")
+def leiden(edges: DataFrame, passes: int = 50, least_gain: float = 1e-2, coarser: bool = True, stored: bool = False) -> DataFrame:
+    """Louvain's communities, split into connected parts: ``node, community`` (the least node of the part)."""
+    pairs, graph = _graph(edges, stored)
+    if graph is None:
+        member, _ = written(_by_joins(pairs, passes, least_gain, coarser), "louvain")
+        inner = _inside(pairs, member).select("src", "dst")
+        return components(inner, member.select("node")).withColumnRenamed("component", "community")
+    member = graph.named(_connected(graph, _moved(graph, passes, least_gain, coarser)))
+    graph.drop()
+    return member
+
+
+def _connected(graph: blocks.Graph, whole: np.ndarray) -> np.ndarray:
+    """The least number in the connected part of each node's community: least neighbours, then their pointers, until none gets smaller."""
+    n, size, files = graph.n, graph.size, graph.files
+    member_at, at = (f"{graph.at}/{x}-{uuid.uuid4().hex}" for x in ("member", "least"))
+    whole.tofile(member_at)
+    least = np.arange(n, dtype=np.int32)
+    while n:
+        least.tofile(at)
+        new_at = f"{at}-new"
+        blocks.new_values(new_at, n, "i4")
+
+        def lower(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            member, old, new, changed = blocks.values(member_at, "i4"), blocks.values(at, "i4"), blocks.values(new_at, "i4", "r+"), 0
+            for part, u, v, _ in blocks.blocks_of(batches, files):
+                lo, hi = part * size, min(n, part * size + size)
+                out = np.array(old[lo:hi])
+                starts = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                near = np.minimum.reduceat(np.where(member[u] == member[v], old[v], old[u]), starts)
+                nodes = u[starts] - lo
+                changed += int((near < out[nodes]).sum())
+                out[nodes] = np.minimum(out[nodes], near)
+                new[lo:hi] = out
+            new.flush()
+            yield pa.RecordBatch.from_pydict({"changed": pa.array([float(changed)])})
+
+        changed = graph.sums(lower, "changed")[0]
+        before, least = least, np.fromfile(new_at, np.int32)[:n]
+        os.unlink(new_at)
+        if not changed:
+            break
+        # a node's former pointer lies in its part: that one gets what the node got, then pointers are followed
+        np.minimum.at(least, before, least.copy())
+        least = least[least]
+    return least
 
 
 def _inside(pairs: DataFrame, member: DataFrame) -> DataFrame:

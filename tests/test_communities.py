@@ -102,3 +102,33 @@ def test_components_agree_with_union_find(spark, rows):
         least[root(x)] = min(x, least.get(root(x), x))
     assert got == {x: least[root(x)] for x in [*parent, "alone"] if x in got} and set(got) == {x for p in pairs for x in p} | {"alone"}
     assert rows(communities.components(spark.createDataFrame([], "src string, dst string"))) == []
+
+
+def test_moving_on_blocks_shuffles_no_edge_in_a_pass(spark, rows, monkeypatch):
+    """Passes by joins are for graphs too large for blocks only; both ways hold."""
+    r = random.Random(3)
+    pairs = sorted({tuple(sorted(r.sample(range(40), 2))) for _ in range(70)} | {(a, b) for a in range(40, 46) for b in range(40, a)})
+    pairs = [(f"n{a:02}", f"n{b:02}") for a, b in pairs] + [("n00", "n00")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    by_joins = communities._by_joins
+    monkeypatch.setattr(communities, "_by_joins", lambda *a: pytest.fail("joins"))
+    for member in (dict(rows(communities.louvain(e))), dict(rows(communities.leiden(e)))):
+        assert set(member) == {i for p in pairs for i in p} and set(member.values()) <= set(member)
+        assert len({member[f"n{a}"] for a in range(40, 46)}) == 1
+        groups = defaultdict(set)
+        for i, c in member.items():
+            groups[c].add(i)
+        assert all(c == min(g) for c, g in groups.items())
+    for c, g in groups.items():  # leiden's are connected
+        seen, todo = {c}, [c]
+        while todo:
+            i = todo.pop()
+            near = {b if a == i else a for a, b in pairs if i in (a, b)} & g - seen
+            seen |= near
+            todo += near
+        assert seen == g
+    assert rows(communities.louvain(e.where("src = dst"))) == []
+    monkeypatch.undo()
+    monkeypatch.setattr(communities.blocks, "MOST_NODES", 3)
+    monkeypatch.setattr(communities, "_by_joins", lambda *a: by_joins(*a).withColumn("joins", communities.F.lit(1)))
+    assert communities.louvain(e, 2, 0.5, False).columns[-1] == "joins"
