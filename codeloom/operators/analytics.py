@@ -167,29 +167,42 @@ def risk_label(risk):
     return F.when(risk >= 75, "HIGH").when(risk >= 40, "MEDIUM").otherwise("LOW")
 
 
-def migrate_plan(nodes: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
+def migrate_plan(nodes: DataFrame, edges: DataFrame, depth: int = 5, brief: bool = False) -> DataFrame:
     """Risk of moving each class: callers, references, importing files and tests from outside it.
 
     A test counts if calls or references lead from it to a method of the class within ``depth`` (1..12) edges;
-    ``by_module`` has the callers of each module (``modules`` of them).
+    ``by_module`` has the callers of each module (``modules`` of them).  A ``brief`` plan leaves importers and modules out.
     """
-    m = nodes.where("label = 'Method'").select("id", "class_id", "is_test", "fq_name")
-    e = edges.where("edge_type IN ('CALLS', 'REFERENCES')").select("src", "dst", "edge_type")
-    e = e.join(m.select(F.col("id").alias("dst"), F.col("class_id").alias("target")), "dst").join(m.select(F.col("id").alias("src"), F.col("class_id").alias("origin"), "fq_name"), "src").where("target <> origin")
-    per = e.groupBy("target").agg(
+    from codeloom.operators.coverage import counted
+    from codeloom.operators.traverse import clamp
+
+    m = nodes.where("label = 'Method'").select("id", "class_id", "is_test", "fq_name", module_prefix(F.col("fq_name")).alias("module"))
+    links = edges.where("edge_type IN ('CALLS', 'REFERENCES')").select("src", "dst", "edge_type")
+    counts = counted(m, links, clamp(depth, 12), not brief)
+    c = nodes.where("label = 'Class'").select("id", "fq_name")
+    if not brief:
+        files = _label(nodes, "File", src="id")
+        importers = edges.where("edge_type = 'IMPORTS'").join(files, "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("importers"))
+        c = c.join(importers, "id", "left")
+    out = (_counts_by_joins(c, m, links, edges, depth) if counts is None else counts.of(c)).fillna(0, ["callers", "references", "tests", *([] if brief else ["importers", "modules"])])
+    risk = migrate_risk(F.col("callers"), F.col("references"), F.col("tests"))
+    more = [] if brief else ["importers", "modules", F.map_from_entries(F.array_sort(F.coalesce("by_module", F.array().cast("array<struct<module:string,n:bigint>>")))).alias("by_module")]
+    order = ["fq_name", "callers", "references", *more[:1], "tests", *more[1:]]
+    return out.select(*order, risk.alias("risk"), risk_label(risk).alias("risk_label"))
+
+
+def _counts_by_joins(classes: DataFrame, m: DataFrame, links: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """:mod:`coverage`'s counts by joins of DataFrames, whatever the number of nodes; columns that are not asked for are pruned."""
+    to, of = m.select(F.col("id").alias("dst"), F.col("class_id").alias("id")), m.select(F.col("id").alias("src"), F.col("class_id").alias("origin"), "module")
+    e = links.join(to, "dst").join(of, "src").where("id <> origin")
+    per = e.groupBy("id").agg(
         F.countDistinct(F.when(F.col("edge_type") == "CALLS", F.col("src"))).alias("callers"),
         F.countDistinct(F.when(F.col("edge_type") == "REFERENCES", F.col("src"))).alias("references"),
     )
-    by = e.where("edge_type = 'CALLS'").groupBy("target", module_prefix(F.col("fq_name")).alias("module")).agg(F.countDistinct("src").alias("n"))
-    by = by.groupBy("target").agg(F.count(F.lit(1)).alias("modules"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", "n")))).alias("by_module"))
-    files = _label(nodes, "File", src="id")
-    importers = edges.where("edge_type = 'IMPORTS'").join(files, "src", "left_semi").groupBy(F.col("dst").alias("target")).agg(F.countDistinct("src").alias("importers"))
-    tests = _tests_of_classes(m, edges, depth)
-    c = nodes.where("label = 'Class'").select(F.col("id").alias("target"), "fq_name")
-    out = c.join(per, "target", "left").join(importers, "target", "left").join(tests, "target", "left").join(by, "target", "left").fillna(0, ["callers", "references", "importers", "tests", "modules"])
-    risk = migrate_risk(F.col("callers"), F.col("references"), F.col("tests"))
-    by_module = F.coalesce("by_module", F.create_map().cast("map<string,bigint>"))
-    return out.select("fq_name", "callers", "references", "importers", "tests", "modules", by_module.alias("by_module"), risk.alias("risk"), risk_label(risk).alias("risk_label"))
+    by = e.where("edge_type = 'CALLS'").groupBy("id", "module").agg(F.countDistinct("src").alias("n"))
+    by = by.groupBy("id").agg(F.count(F.lit(1)).alias("modules"), F.collect_list(F.struct("module", "n")).alias("by_module"))
+    tests = _tests_of_classes(m, edges, depth).withColumnRenamed("target", "id")
+    return classes.join(per, "id", "left").join(tests, "id", "left").join(by, "id", "left")
 
 
 def _tests_of_classes(methods: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

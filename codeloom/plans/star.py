@@ -98,7 +98,8 @@ class Star:
 
     def calls(self) -> DataFrame:
         """Orders that share a part call each other in turn; a returned part turns the call round."""
-        per = self._t("lineitem").groupBy("l_partkey", "l_orderkey").agg(F.min("l_linenumber").alias("line"), F.max((F.col("l_returnflag") == "R").cast("int")).alias("back"))
+        lines = self._t("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").cast("int").alias("back")).repartition("l_partkey")  # the only exchange up to the calls
+        per = lines.groupBy("l_partkey", "l_orderkey").agg(F.min("l_linenumber").alias("line"), F.max("back").alias("back"))
         w = Window.partitionBy("l_partkey").orderBy("l_orderkey")
         per = per.withColumn("next", F.lead("l_orderkey").over(w)).where("next is not null")
         a, b = F.when(F.col("back") == 1, F.col("next")).otherwise(F.col("l_orderkey")), F.when(F.col("back") == 1, F.col("l_orderkey")).otherwise(F.col("next"))

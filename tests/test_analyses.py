@@ -66,3 +66,27 @@ def test_whole_flows_and_children(spark):
         assert max(len(r["reaches"].split("|")) for r in reference.QUERIES[f"flows_{kind}"](spark, sf).collect()) > 10
     kids = reference.QUERIES["bulk_contains_capped"](spark, sf).groupBy("container").count().collect()
     assert max(r["count"] for r in kids) > 5
+
+
+def test_migration_writes_no_pair_of_a_test_and_a_node(spark, rows, monkeypatch):
+    from codeloom.operators import coverage, traverse
+
+    r = random.Random(8)
+    m = [(f"m{i}", "p", "Method", f"a.{i % 9}.k.m{i % 50}", f"m{i}", None, "f0", None if i % 11 == 4 else f"c{i % 30}", None if i == 6 else i % 3 == 0) for i in range(300)]
+    c = [(f"c{i}", "p", "Class", f"a.C{i}", f"C{i}", None, "f0", None, None) for i in range(33)]
+    ends = [f"m{i}" for i in range(5, 300)] + [f"x{i}" for i in range(20)]  # some ends are no methods
+    e = [("p", r.choice(("CALLS", "CALLS", "REFERENCES", "EXTENDS")), r.choice(ends), r.choice(ends)) for _ in range(900)]
+    nodes, edges = shaped(spark.createDataFrame(m + c, KIND), NODE), spark.createDataFrame(e + e[:100], "project_id string, edge_type string, src string, dst string")
+    found, counted = {}, coverage.counted
+    monkeypatch.setattr(coverage, "counted", lambda *_: None)
+    for depth in (1, 3, 5):
+        found[depth] = rows(analytics.migrate_plan(nodes, edges, depth))
+    monkeypatch.setattr(coverage, "counted", counted)
+    written = []
+    monkeypatch.setattr(traverse, "written", lambda df, label: written.append(label))
+    for at_a_time in (1 << 20, 50):
+        monkeypatch.setattr(coverage, "EDGES_AT_A_TIME", at_a_time)
+        for depth, want in found.items():
+            assert rows(analytics.migrate_plan(nodes, edges, depth)) == want
+    assert rows(analytics.migrate_plan(nodes, edges, 5, brief=True)) == sorted((tuple(x[i] for i in (0, 1, 2, 4, 7, 8)) for x in found[5]), key=str)
+    assert not written and found[5] != found[1]
