@@ -225,6 +225,42 @@ class Graph:
         least, _ = written(rows.groupBy("_c").agg(F.min("node").alias("community")), "communities")
         return lookup(rows, least, ["_c"], written_already=True).select("node", "community")
 
+    def numbered(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` of strings, with the ``_number`` of the node that its column ``name`` names, -1 for none."""
+        hashes_at, known = f"{self.at}/hashes", self.n > 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes = values(hashes_at, "i8") if known else None
+            for b in batches:
+                h = column(b, b.num_columns - 1)
+                i = numbers_of(hashes, h) if known else np.full(len(h), -1)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(i, pa.int32())], names=[*b.schema.names[:-1], "_number"])
+
+        return df.select("*", F.xxhash64(name).alias("_h")).mapInArrow(run, ", ".join(f"`{c}` string" for c in df.columns) + ", _number int")
+
+    def groups(self, member: DataFrame) -> tuple[np.ndarray, int]:
+        """The group of each node by ``member`` (``node, community``), -1 without; and how many of its nodes and names are no nodes here."""
+        at, hashes_at, known = self.at, f"{self.at}/hashes", self.n > 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, got, strange = values(hashes_at, "i8") if known else None, [], 0
+            for b in batches:
+                i, c = (numbers_of(hashes, column(b, k)) if known else np.full(b.num_rows, -1) for k in (0, 1))
+                strange += int((i < 0).sum() + (c < 0).sum())
+                got.append(np.stack([i[i >= 0], column(b, 1)[i >= 0]]))
+            path = f"{at}/member-{uuid.uuid4().hex}"
+            (np.concatenate(got, axis=1) if got else np.zeros((2, 0), np.int64)).tofile(path)
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "strange": pa.array([strange], pa.int64())})
+
+        parts = member.where("community is not null").select(F.xxhash64("node").alias("h"), F.xxhash64("community").alias("c")).mapInArrow(run, "path string, strange bigint").collect()  # one row a partition
+        names = np.unique(np.concatenate([np.unique(np.fromfile(r["path"], np.int64).reshape(2, -1)[1]) for r in parts]))
+        out = np.full(self.n, -1, np.int32)
+        for r in parts:
+            i, c = np.fromfile(r["path"], np.int64).reshape(2, -1)
+            out[i] = np.searchsorted(names, c)
+            os.unlink(r["path"])
+        return out, sum(r["strange"] for r in parts)
+
     def drop(self) -> None:
         drop_written(self.names.sparkSession, f"file://{self.at}")
 

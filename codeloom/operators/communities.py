@@ -357,9 +357,13 @@ def _inside(pairs: DataFrame, member: DataFrame) -> DataFrame:
 
 def described(edges: DataFrame, member: DataFrame, least: int = 2, samples: int = 10) -> DataFrame:
     """``rank, community, size, internal_edges, cohesion, members`` (the first ``samples``), largest first."""
-    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     pairs = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     inner = _inside(pairs, member).groupBy(F.col("c1").alias("community")).agg(F.count(F.lit(1)).alias("internal_edges"))
+    return _described(member, inner, least, samples)
+
+
+def _described(member: DataFrame, inner: DataFrame, least: int, samples: int) -> DataFrame:
+    sizes = member.groupBy("community").agg(F.count(F.lit(1)).alias("size"))
     some = first_of_each(member.select("community", "node"), ["community"], [F.col("node")], samples).groupBy("community").agg(F.array_sort(F.collect_list("node")).alias("members"))
     out = sizes.where(F.col("size") >= least).join(inner, "community", "left").join(some, "community").fillna(0, ["internal_edges"])
     out = out.withColumn("cohesion", F.round(F.col("internal_edges") / (F.col("size") * (F.col("size") - 1) / 2), 6))
@@ -367,6 +371,100 @@ def described(edges: DataFrame, member: DataFrame, least: int = 2, samples: int
     return ranked(out, [F.col("size").desc(), F.col("community")])
 
 
+def louvain_described(edges: DataFrame, stored: bool = False, least: int = 2, samples: int = 10) -> DataFrame:
+    """:func:`described` of :func:`louvain`'s communities; edges are counted on the blocks that these were found on."""
+    pairs, graph = _graph(edges, stored)
+    if graph is None:
+        member, _ = written(_by_joins(pairs, 50, 1e-2, True), "louvain")
+        return described(pairs, member, least, samples)
+    group = _moved(graph, 50, 1e-2, True)
+    member, _ = written(graph.named(group), "louvain")
+    # a number and a name of each community: those of its first named node
+    inner = _inner_edges(graph, group)
+    of = graph.numbered(member.where("node = community"), "community").select("community", "_number")
+    inner, _ = written(_of_groups(of, group, inner, "internal_edges"), "inner")
+    graph.drop()
+    return _described(member, inner.where("internal_edges > 0"), least, samples)
+
+
+def _inner_edges(graph: blocks.Graph, group: np.ndarray) -> np.ndarray:
+    """The pairs of nodes with an edge that lie in each group."""
+    files, many = graph.files, int(group.max()) + 1 if len(group) else 1
+    path, at = f"{graph.at}/group-{uuid.uuid4().hex}", graph.at
+    group.astype(np.int32).tofile(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, counts, out = blocks.values(path, "i4"), np.zeros(many), f"{at}/inner-{uuid.uuid4().hex}"
+        for _, u, v, _ in blocks.blocks_of(batches, files):
+            c = of[u]
+            pick = (c == of[v]) & (u < v)
+            counts += np.bincount(c[pick], minlength=many)
+        counts.tofile(out)
+        yield pa.RecordBatch.from_pydict({"path": pa.array([out])})
+
+    total = np.zeros(many)
+    for r in graph.mapped(run, "path string").collect() if files else []:  # one row a task
+        total += np.fromfile(r["path"])
+        os.unlink(r["path"])
+    os.unlink(path)
+    return total
+
+
+def _of_groups(named: DataFrame, group: np.ndarray, values: np.ndarray, name: str) -> DataFrame:
+    """``named`` (``community`` and the ``_number`` of a node of it) with the value of its group."""
+    folder = blocks.folder(named.sparkSession)
+    np.r_[group, 0].astype(np.int32).tofile(f"{folder}/group"), np.r_[values, 0.0].tofile(f"{folder}/values")  # no file is empty
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, x = blocks.values(f"{folder}/group", "i4"), blocks.values(f"{folder}/values", "f8")
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x[of[blocks.column(b, 1)]].astype(np.int64))], names=["community", name])
+
+    return named.select("community", "_number").mapInArrow(run, f"community string, {name} bigint")
+
+
+def louvain_checked(edges: DataFrame, floor: DataFrame, stored: bool = False) -> DataFrame | None:
+    """One row of what must hold of :func:`louvain`'s communities, found on their blocks; None where the graph is none for blocks.
+
+    ``floor`` has the ``node, community`` whose modularity is the least that is asked for; both sums leave out nodes that it has not.
+    """
+    pairs, graph = _graph(edges, stored)
+    if graph is None:
+        return None
+    spark = pairs.sparkSession
+    member, _ = written(graph.named(_moved(graph, 50, 1e-2, True)), "louvain")
+    found, strange = graph.groups(member)
+    least, _ = graph.groups(floor)
+    sizes = member.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("node").alias("nodes")).first()  # two numbers
+    said = (sizes["nodes"] == graph.n, sizes["n"] == sizes["nodes"], strange == 0, _modularity(graph, found) >= _modularity(graph, least))
+    graph.drop()
+    return spark.createDataFrame([said], "all_members boolean, one_each boolean, named_by_members boolean, not_below_floor boolean")
+
+
+def _modularity(graph: blocks.Graph, group: np.ndarray) -> float:
+    """:func:`modularity` on blocks: groups by number, nodes of none (-1) and their edges left out."""
+    path, at, files, two_m = f"{graph.at}/of-{uuid.uuid4().hex}", graph.at, graph.files, graph.two_m or 1.0
+    many = int(group.max()) + 1 if len(group) else 0
+    group.astype(np.int32).tofile(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, sums, out = blocks.values(path, "i4"), np.zeros((2, many)), f"{at}/sums-{uuid.uuid4().hex}"
+        for _, u, v, w in blocks.blocks_of(batches, files):
+            a, b = of[u], of[v]
+            both = (a >= 0) & (b >= 0)
+            sums[0] += np.bincount(a[both], w[both], many)
+            sums[1] += np.bincount(a[both & (a == b)], w[both & (a == b)], many)
+        sums.tofile(out)
+        yield pa.RecordBatch.from_pydict({"path": pa.array([out])})
+
+    sums = np.zeros((2, many))
+    for r in graph.mapped(run, "path string").collect() if files and many else []:  # one row a task
+        sums += np.fromfile(r["path"]).reshape(2, -1)
+        os.unlink(r["path"])
+    os.unlink(path)
+    return round(float((sums[1] / two_m - (sums[0] / two_m) ** 2).sum()), 6)
+
+
 def ranked(df: DataFrame, order: list) -> DataFrame:
     """``rank`` of every row by ``order``, without bringing all rows to one task."""
     parts, _ = written(df.orderBy(*order).withColumn("_p", F.spark_partition_id()), "ranked")

@@ -132,3 +132,33 @@ def test_moving_on_blocks_shuffles_no_edge_in_a_pass(spark, rows, monkeypatch):
     monkeypatch.setattr(communities.blocks, "MOST_NODES", 3)
     monkeypatch.setattr(communities, "_by_joins", lambda *a: by_joins(*a).withColumn("joins", communities.F.lit(1)))
     assert communities.louvain(e, 2, 0.5, False).columns[-1] == "joins"
+
+
+def test_communities_are_described_and_checked_without_joins_of_edges(spark, rows, monkeypatch):
+    r = random.Random(5)
+    pairs = [(f"n{a:02}", f"n{b:02}") for a, b in (r.sample(range(60), 2) for _ in range(130))] + [("n01", "n01"), ("n02", "n03"), ("n03", "n02"), ("z", "z")]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    member = communities.louvain(e)
+    want = rows(communities.described(e, member))
+    monkeypatch.setattr(communities, "_inside", lambda *a: pytest.fail("joins"))
+    assert rows(communities.louvain_described(e)) == want
+    assert rows(communities.louvain_described(e.where("src = dst"))) == []
+    graph = communities._graph(e, False)[1]
+    for m in (member, member.where("node > 'n2'"), member.select("node", communities.F.lit("n01").alias("community"))):
+        assert communities._modularity(graph, graph.groups(m)[0]) == pytest.approx(communities.modularity(communities.adjacency(e), m).first()[0], abs=2e-6)
+    assert graph.groups(spark.createDataFrame([("n01", "n02"), ("no", "n01"), ("n02", "no")], "node string, community string"))[1] == 2
+    assert rows(communities.louvain_checked(e, member)) == [(True, True, True, True)]
+    one_each = member.select("node", communities.F.col("node").alias("community"))
+    monkeypatch.setattr(communities, "_moved", lambda graph, *a: communities.np.arange(graph.n))
+    assert rows(communities.louvain_checked(e, one_each)) == [(True, True, True, True)] and not communities.louvain_checked(e, member).first()["not_below_floor"]
+
+
+def test_queries_of_communities_and_migration_store_no_whole_graph(spark, rows, monkeypatch):
+    from codeloom.plans import reference
+
+    monkeypatch.setattr(reference.Loaded, "_stores", {})
+    monkeypatch.setattr(reference.Loaded, "_whole", lambda self: pytest.fail("whole graph"))
+    sf = "/root/testdata/sf0.001"
+    assert rows(reference.QUERIES["louvain_holds"](spark, sf)) == [(True, True, True, True)]
+    assert reference.QUERIES["communities_described"](spark, sf).count() > 1
+    assert reference.QUERIES["migrate_risk"](spark, sf).count() == reference.QUERIES["migrate_plan"](spark, sf).count() > 1
